@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import chat_format, mixing, sharding, url_filter
+from ridgeline.llm import chat_format, decontaminate, mixing, ngram_join, quality, sharding, token_counts, url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
     "op3_shards": sharding.op3_shards,
     "op4_mixing": mixing.op4_mixing,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLES = {
