@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.llm.shared import WORD, hex_bucket, ranked, table
+from ridgeline.llm.shared import WORD, hex_bucket, materialize, ranked, table
 from ridgeline.llm.sharding import seeded
 
 SEED = "ridgeline-mix-1"
@@ -81,6 +81,7 @@ def mix(
     work = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(source_col).alias("source"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("n"), seeded(seed, F.col(id_col)).alias("h")
     )
+    work = materialize(work, "mix")  # texts are read and counted once
     totals = work.groupBy("source").agg(F.sum("n").alias("source_size"))
     goals = targets(cycled_weights(totals, weights), share, most)
     seats = F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block + 0.5).cast("long")
@@ -93,6 +94,7 @@ def mix(
     plan = goals.join(won.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select(
         F.col("source").alias("__source"), "source_size", "target", F.coalesce("quota", F.lit(0).cast("long")).alias("quota"), F.coalesce("shard_blocks", F.array().cast("array<bigint>")).alias("shard_blocks")
     )
+    plan = materialize(plan, "mix")
     work = ranked(work.withColumn("b", hex_bucket(F.col("h"))), ["source"], "b", [F.col("h"), F.col("n")], "start", "n").drop("start_total", "h", "b")
     work = work.join(plan, F.col("source").eqNullSafe(F.col("__source")))
     blocks = F.expr(f"(source_size + {block - 1}) div {block}")
