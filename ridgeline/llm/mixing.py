@@ -121,6 +121,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs (text, source) as often as `mix` takes them: a row goes with the block of its middle word. Texts without a word are left out."""
+    names = docs.columns
+    sized = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)], F.col("source").alias("source"), word_count(F.col("text")).alias("size"), F.struct("doc_id", F.xxhash64("text")).cast("string").alias("__row"))
+    out = mix(sized, id_col="__row", **options).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

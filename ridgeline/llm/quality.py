@@ -37,9 +37,9 @@ class Rules:
     max_repeat_percent: int = 50
     central: float = 0.75
     steps: int = 5
-    cutoff: float = 60.0
+    cutoff: float = 50.0
     min_group: int = 30
-    floors: tuple[float, ...] = (0.05, 0.04, 0.12, 0.12)
+    floors: tuple[float, ...] = (0.05, 0.04, 0.15, 0.15)
 
 
 RULES = Rules()
@@ -178,6 +178,38 @@ def levels(lang: Column, source: Column) -> list[Column]:
     return [F.concat(F.lit("s|"), F.concat_ws("|", shown(lang), shown(source))), F.concat(F.lit("l|"), shown(lang)), F.lit("all")]
 
 
+def rated(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep`, lang, source, the counts, base_failed and x for docs with text, lang and source."""
+    slim = docs.withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "text": F.col("text").cast("string")})
+    counted = text_counts(slim, list(dict.fromkeys([*keep, "lang", "source"])))
+    return counted.withColumn("x", statistics())
+
+
+def base_failed(rules: Rules) -> Column:
+    return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
+
+
+def estimates(rows: DataFrame, rules: Rules) -> DataFrame:
+    """(g, mean, inverse) of every language and source, language, and of all, over the `rated` rows that pass the base rules."""
+    names = levels(F.col("lang"), F.col("source"))
+    vectors = rows.where(~base_failed(rules)).select(F.explode(F.array(*names)).alias("g"), "x")
+    sizes = vectors.groupBy("g").count().where((F.col("count") >= rules.min_group) | (F.col("g") == "all")).select("g")
+    return fit(vectors.join(materialize(sizes, "mcd"), "g", "left_semi"), rules)
+
+
+def verdicts(rows: DataFrame, fits: DataFrame, rules: Rules) -> DataFrame:
+    """Adds base_failed, distance (null if that holds) and kept to `rated` rows, by the narrowest estimate there is."""
+    found = None
+    for i, name in enumerate(levels(F.col("lang"), F.col("source"))):
+        own = fits.select(F.col("g").alias(f"__g{i}"), F.struct("mean", "inverse").alias(f"__fit{i}"))
+        rows = rows.join(own, name == F.col(f"__g{i}"), "left")
+        found = F.coalesce(found, F.col(f"__fit{i}")) if found is not None else F.col(f"__fit{i}")
+    rows = rows.withColumn("__fit", found).withColumns({"mean": F.col("__fit.mean"), "inverse": F.col("__fit.inverse"), "base_failed": base_failed(rules)})
+    rows = rows.withColumn("distance", F.when(~F.col("base_failed"), distance()))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= rules.cutoff))
+    return rows.drop("__fit", "mean", "inverse", "x", *[f"__{k}{i}" for k in ("g", "fit") for i in range(3)])
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", rules: Rules = RULES) -> DataFrame:
     """(id, counts, base_failed, distance, kept) for each row of docs (id, text, lang, source).
 
@@ -186,25 +218,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", rules: Rules = RULES) -> Data
     distance exceeds the cutoff. Null languages and sources are groups of their own. Repeated rows each get a row. Other columns are
     ignored. An empty table gives no rows.
     """
-    counted = materialize(text_counts(docs.select(F.col(id_col).alias("__id"), F.col("lang").cast("string"), F.col("source").cast("string"), "text"), ["__id", "lang", "source"]), "quality")
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    names = levels(F.col("lang"), F.col("source"))
-    counted = counted.select("__id", "lang", "source", *COUNTS, failed.alias("base_failed"), statistics().alias("x"))
-    good = counted.where("not base_failed")
-    vectors = good.select(F.explode(F.array(*names)).alias("g"), "x")
-    sizes = vectors.groupBy("g").count().where(F.col("count") >= rules.min_group).select("g")
-    fits = fit(vectors.join(materialize(sizes.unionByName(docs.sparkSession.createDataFrame([("all",)], "g string")).distinct(), "mcd"), "g", "left_semi"), rules)
-    scored = good.select("__id", "lang", "source", *COUNTS, "base_failed", "x", *[n.alias(f"g{i}") for i, n in enumerate(names)])
-    found = None
-    for i in range(3):
-        own = fits.select(F.col("g").alias(f"g{i}"), F.struct("mean", "inverse").alias(f"fit{i}"))
-        scored = scored.join(own, f"g{i}", "left")
-        found = F.coalesce(found, F.col(f"fit{i}")) if found is not None else F.col(f"fit{i}")
-    scored = scored.withColumn("best", found).withColumns({"mean": F.col("best.mean"), "inverse": F.col("best.inverse")})
-    scored = scored.withColumn("distance", distance())
-    out = scored.select("__id", *COUNTS, "base_failed", "distance", (F.coalesce("distance", F.lit(0.0)) <= rules.cutoff).alias("kept"))
-    bad = counted.where("base_failed").select("__id", *COUNTS, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
-    return out.unionByName(bad).withColumnRenamed("__id", id_col)
+    rows = materialize(rated(docs.select(F.col(id_col).alias("__id"), "text", "lang", "source"), ["__id"]), "quality")
+    return verdicts(rows, estimates(rows, rules), rules).select(F.col("__id").alias(id_col), *COUNTS, "base_failed", "distance", "kept")
+
+
+def kept_rows(docs: DataFrame, rules: Rules = RULES) -> DataFrame:
+    """The rows of docs that `judge` keeps, with all their columns.
+
+    Texts are counted twice and not shuffled: once for the estimates, once where the verdict falls.
+    """
+    names = docs.columns
+    slim = materialize(rated(docs.select("text", "lang", "source"), []), "quality")
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)], "text", "lang", "source")
+    out = verdicts(rated(plain, [f"__c{i}" for i in range(len(names))]), estimates(slim, rules), rules)
+    return out.where("kept").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

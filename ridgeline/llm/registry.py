@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import chat_format, decontaminate, mixing, ngram_join, quality, sharding, token_counts, url_filter
+from ridgeline.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_shards": sharding.op3_shards,
     "op4_mixing": mixing.op4_mixing,
     "op5_token_counts": token_counts.op5_token_counts,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_quality": quality.op9_quality,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
