@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.shared import components, map_runs, materialize, table
+from ridgeline.llm.shared import components, fetched, map_runs, materialize, table
 from ridgeline.llm.words import mixed, pieces, shingles_of, words_of
 
 #: Rows of (part, id) that a task gathers before it merges equal parts.
@@ -266,17 +266,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", size: int = 3, p
     hot = np.sort(np.array([r[0] for r in common.select("hot").collect()], np.int64).view(U))  # at most HOT_MOST numbers
     keyed = materialize(slim.mapInArrow(lambda it: merged_keys(it, size, percent, hot), "key bigint, a bigint, b bigint"), "keys")
     keys = keyed.where("key is not null")
-    shared = keys.groupBy("key").agg(F.min("a").alias("head"), F.count("*").alias("n")).where("n > 1")
-    edges = keys.join(shared.select("key", "head"), "key").where("a <> head").select(F.col("head").alias("a"), F.col("a").alias("b"))
+    shared = materialize(keys.groupBy("key").agg(F.min("a").alias("head"), F.count("*").alias("n")).where("n > 1"), "keys")
+    met = fetched(keys.select("key", "a"), shared.where("n > 1").select("key", "head"), "key", "keys")
+    edges = met.where("a <> head").select(F.col("head").alias("a"), F.col("a").alias("b"))
     groups = materialize(components(keyed.where("b is not null").select("a", "b").unionByName(edges), "groups"), "groups")
     # of equal sets one member
     same = sets.where("n > 0 and id is not null").groupBy("n", "fp").agg(F.min("id").alias("rep"))
     members = materialize(groups.join(same.withColumnRenamed("rep", "id"), "id"), "members")
     total = members.groupBy("component").agg(F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
-    members = members.join(total, "component").withColumn("blocks", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int"))
-    members = members.select("id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    members = members.join(total.where("k > 1"), "component").withColumn("blocks", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int"))
+    members = members.select("id", "k", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    members = materialize(members.dropDuplicates(["id"]), "members")
+    texts = fetched(slim, members.where("k > 1"), "id", "members")
     unit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("left"), F.greatest(x, F.col("block")).alias("right")))
-    work = slim.join(members.dropDuplicates(["id"]), "id").select("id", "text", "component", "block", F.explode(unit).alias("u"))
+    work = texts.select("id", "text", "component", "block", F.explode(unit).alias("u"))
     work = work.select(F.concat_ws("/", "component", "u.left", "u.right").alias("unit"), "u.left", "u.right", "block", "id", "text")
     links = map_runs(work, "unit", lambda rows: link_unit(rows, size, percent), "a bigint, b bigint")
     equal = sets.where("n > 0 and id is not null").join(same, ["n", "fp"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))

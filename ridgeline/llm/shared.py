@@ -48,6 +48,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A shuffle join whose smaller side is filtered first drops most rows of the other by a Bloom filter, which Spark
+#: limits to 8 MB whatever the size of the tables.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+}
+
+
+def fetched(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
+    """rows joined with the few that are wanted, written; rows that no key wants are dropped where they are read.
+
+    `wanted` must hold a comparison, by which Spark sees that it is worth a filter.
+    """
+    conf = rows.sparkSession.conf
+    before = {k: conf.get(k, None) for k in BLOOM}
+    for k, v in BLOOM.items():
+        conf.set(k, v)
+    try:
+        return materialize(rows.join(wanted, key), name)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v) if v is not None else conf.unset(k)
+
+
 def hex_bucket(digest: Column, digits: int = 3) -> Column:
     """The leading hex digits of a digest as a number: 16**digits buckets that follow the digest's order."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
