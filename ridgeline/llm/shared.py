@@ -57,7 +57,7 @@ BLOOM = {
 }
 
 
-def fetched(rows: DataFrame, wanted: DataFrame, key: str, name: str) -> DataFrame:
+def fetched(rows: DataFrame, wanted: DataFrame, key: str | list[str], name: str) -> DataFrame:
     """rows joined with the few that are wanted, written; rows that no key wants are dropped where they are read.
 
     `wanted` must hold a comparison, by which Spark sees that it is worth a filter.

@@ -134,7 +134,7 @@ def plain_decisions(spark, docs, rules):
     frame = spark.createDataFrame(docs, "id bigint, text string")
     lines = [(r.id, r.line_no, r.h1, tuple(r.words)) for r in line_dedup.lines_of(frame).collect()]
     sim = {r.h1: r.simhash for r in line_dedup.simhashes(line_dedup.lines_of(frame)).collect()}
-    text = {h: " ".join(w) for _, _, h, w in lines}
+    text = {h: w for _, _, h, w in lines}
 
     def similar(a, b):
         longest = max(len(text[a]), len(text[b]))
