@@ -2,5 +2,341 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgeline.fixtures import view
+from ridgeline.functions.cigar import cigar_ops
+from ridgeline.functions.rules import depth_tag, error_type, terminal_window
+from ridgeline.operators import composition, depth, intervals, quality_value, reads, repeats, structural, support
+from ridgeline.operators.intervals import KEY
+from ridgeline.plans import base_errors, structural_errors
+from ridgeline.plans.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+#: Views by session, folder and name. They stand for tables that a real run reads from files, so each is made once and kept.
+_views: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _views:
+        _views[key] = view(spark, sf_dir, name).persist()
+    return _views[key]
+
+
+class Fixture:
+    """The views of one folder, and what several queries share."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.view = lambda name: _kept(spark, sf_dir, name)
+        self.contigs = self.view("contigs")
+
+    @property
+    def reads(self) -> DataFrame:
+        mismatches = F.when(F.col("mm0").isNotNull(), F.array("mm0")).otherwise(F.array().cast("array<bigint>"))
+        return self.view("reads").withColumn("mismatches", mismatches)
+
+    def platform(self, name: str) -> DataFrame:
+        return self.reads.where(F.col("platform") == name)
+
+    @property
+    def mask(self) -> DataFrame:
+        return self.view("mask")
+
+    @property
+    def seqs(self) -> DataFrame:
+        return self.view("seqs")
+
+    @property
+    def runs(self) -> DataFrame:
+        return depth.depth_runs(depth.counted_reads(reads.perfect_reads(self.platform("short"))), self.contigs)
+
+    @property
+    def candidates(self) -> DataFrame:
+        return base_errors.candidates(reads.perfect_reads(self.platform("short")), self.contigs)
+
+    @property
+    def chunks(self) -> DataFrame:
+        """The contigs' sequences: a document's letters over and over."""
+        own = self.contigs.join(self.seqs.select("doc_id", "seq"), F.col("contig_id") == F.col("doc_id"))
+        whole = F.substring(F.repeat("seq", (F.floor(F.col("len") / F.length("seq")) + 1).cast("int")), F.lit(1), F.col("len").cast("int"))
+        return composition.sequence_chunks(own.select("contig", whole.alias("seq")))
+
+    @property
+    def table(self) -> DataFrame:
+        return base_errors.support_table(self.candidates, self.platform("hifi"), self.platform("ont"), self.chunks)
+
+    @property
+    def structural(self) -> structural_errors.StructuralErrors:
+        return structural_errors.structural_errors(self.platform("ont"), self.contigs)
+
+
+def query(f: Callable[[Fixture], DataFrame]) -> Callable[[Fixture], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixture(spark, sf_dir))
+    return f
+
+
+@query
+def se_depth_anomaly(x: Fixture) -> DataFrame:
+    depths = depth.window_mean_depth(depth.counted_reads(x.platform("ont")), x.contigs, 2000)
+    mean = depth.mean_positive_depth(depths)
+    rows = depths.join(F.broadcast(mean)).join(F.broadcast(x.contigs.select("contig", "len")), "contig")  # one row; a row a contig of 25
+    tag = F.when(~terminal_window(F.col("start0"), F.col("len")), depth_tag(F.col("depth"), F.col("mean")))
+    return rows.groupBy("contig").agg(F.count("*").alias("windows"), F.count_if(tag == "low_depth").alias("low_depth"), F.count_if(tag == "high_depth").alias("high_depth"))
+
+
+@query
+def tumbling_windows_50(x: Fixture) -> DataFrame:
+    return intervals.tumbling_windows(x.contigs, 50)
+
+
+@query
+def tumbling_windows_2k(x: Fixture) -> DataFrame:
+    return intervals.tumbling_windows(x.contigs, 2000)
+
+
+@query
+def spanning_windows(x: Fixture) -> DataFrame:
+    return intervals.spanning_windows(x.contigs)
+
+
+@query
+def split_bed_50(x: Fixture) -> DataFrame:
+    return intervals.split_to_windows(x.mask, x.contigs, 50)
+
+
+@query
+def region_windows_2k(x: Fixture) -> DataFrame:
+    return intervals.region_windows(x.mask, 2000)
+
+
+@query
+def region_window_keys_2k(x: Fixture) -> DataFrame:
+    return intervals.region_window_keys(x.mask, 2000)
+
+
+@query
+def kmer_extension(x: Fixture) -> DataFrame:
+    return intervals.extended(x.mask, x.contigs, 150)
+
+
+@query
+def short_read_filter(x: Fixture) -> DataFrame:
+    return reads.perfect_reads(x.platform("short")).select("read_id")
+
+
+@query
+def primary_filter(x: Fixture) -> DataFrame:
+    return x.reads.where(F.col("platform") != "short").where(reads.primary(F.col("flag"))).select("read_id", "flag")
+
+
+@query
+def split_read_filter(x: Fixture) -> DataFrame:
+    return reads.long_reads(x.reads.where(F.col("platform") != "short")).select("read_id")
+
+
+@query
+def filter_breakdown(x: Fixture) -> DataFrame:
+    return reads.short_filter_stats(x.platform("short"))
+
+
+@query
+def long_filter_breakdown(x: Fixture) -> DataFrame:
+    return reads.long_filter_stats(x.reads.where(F.col("platform") != "short"))
+
+
+@query
+def overlap_semi(x: Fixture) -> DataFrame:
+    return intervals.overlap_semi(intervals.tumbling_windows(x.contigs, 50), x.mask)
+
+
+@query
+def overlap_anti_mask(x: Fixture) -> DataFrame:
+    return intervals.overlap_anti(intervals.tumbling_windows(x.contigs, 2000), x.mask)
+
+
+@query
+def overlap_pairs(x: Fixture) -> DataFrame:
+    met = intervals.overlap_pairs(x.mask, x.reads.select("contig", "start0", "end0"))
+    shared = F.least("end0", "b_end0") - F.greatest("start0", "b_start0")
+    return met.groupBy(*KEY).agg(F.count("*").alias("reads"), F.sum(shared).alias("bases"))
+
+
+@query
+def interval_merge(x: Fixture) -> DataFrame:
+    return intervals.merge_intervals(x.platform("short"))
+
+
+@query
+def interval_merge_strict(x: Fixture) -> DataFrame:
+    cut = intervals.binned(x.mask, 50).select("contig", F.col("bin").alias("start0"), (F.col("bin") + 50).alias("end0"))
+    return intervals.merge_intervals(cut, strict=True)
+
+
+@query
+def depth_runs(x: Fixture) -> DataFrame:
+    return x.runs
+
+
+@query
+def mean_depth(x: Fixture) -> DataFrame:
+    return depth.mean_depth(x.runs, x.contigs)
+
+
+@query
+def low_depth_bases(x: Fixture) -> DataFrame:
+    return depth.low_depth_runs(x.runs, x.contigs)
+
+
+@query
+def be_candidates(x: Fixture) -> DataFrame:
+    return x.candidates
+
+
+@query
+def candidate_summary(x: Fixture) -> DataFrame:
+    return depth.window_summary(x.candidates, intervals.tumbling_windows(x.contigs, 50))
+
+
+@query
+def window_depth_2k(x: Fixture) -> DataFrame:
+    return depth.window_mean_depth(depth.counted_reads(x.platform("ont")), x.contigs, 2000)
+
+
+@query
+def cigar_operations(x: Fixture) -> DataFrame:
+    return x.reads.select("read_id", F.inline(cigar_ops(F.col("cigar"), F.col("start0"))))
+
+
+@query
+def se_window_counters(x: Fixture) -> DataFrame:
+    return structural.window_counters(x.platform("ont"), x.contigs)
+
+
+@query
+def se_window_stats(x: Fixture) -> DataFrame:
+    return x.structural.stats
+
+
+@query
+def se_anomalies(x: Fixture) -> DataFrame:
+    return x.structural.anomalies.select(*KEY, "is_terminal", "depth", "has_spanning", F.concat_ws(",", "tags").alias("tags"))
+
+
+@query
+def se_anomaly_summary(x: Fixture) -> DataFrame:
+    return x.structural.summary
+
+
+@query
+def se_terminal_counts(x: Fixture) -> DataFrame:
+    return structural.terminal_counts(x.structural.stats)
+
+
+@query
+def se_result_merged(x: Fixture) -> DataFrame:
+    return x.structural.merged
+
+
+@query
+def nonspanning_windows(x: Fixture) -> DataFrame:
+    mapped = x.platform("ont").where(F.col("flag").bitwiseAND(4) == 0)
+    found = structural.without_read(intervals.spanning_windows(x.contigs), mapped)
+    return found.withColumn("start0", F.greatest("start0", F.lit(0).cast("long")))
+
+
+@query
+def nonspanning_regions(x: Fixture) -> DataFrame:
+    mapped = x.platform("ont").where(F.col("flag").bitwiseAND(4) == 0)
+    return structural.nonspanning_regions(intervals.spanning_windows(x.contigs), mapped, x.contigs)
+
+
+@query
+def nonspanning_windows_2k(x: Fixture) -> DataFrame:
+    return structural_errors.nonspanning_windows(x.platform("ont"), x.contigs)
+
+
+@query
+def window_support(x: Fixture) -> DataFrame:
+    return support.window_support(x.candidates, x.platform("hifi"))
+
+
+@query
+def support_merge(x: Fixture) -> DataFrame:
+    found = x.candidates
+    hifi = support.window_support(found, x.platform("hifi")).where("start0 % 100 <> 0")
+    return support.merged_support(found, hifi, support.window_support(found, x.platform("ont")))
+
+
+@query
+def base_composition(x: Fixture) -> DataFrame:
+    return composition.composition(intervals.tumbling_windows(x.contigs, 50), x.chunks)
+
+
+@query
+def be_support_table(x: Fixture) -> DataFrame:
+    return x.table
+
+
+@query
+def be_final(x: Fixture) -> DataFrame:
+    return base_errors.final_filter(x.table, x.contigs)
+
+
+@query
+def be_final_excluded(x: Fixture) -> DataFrame:
+    return base_errors.final_filter(x.table, x.contigs, exclude=True)
+
+
+@query
+def contig_qv(x: Fixture) -> DataFrame:
+    return quality_value.contig_qv(x.contigs, base_errors.final_filter(x.table, x.contigs), x.structural.anomalies)
+
+
+@query
+def genome_qv(x: Fixture) -> DataFrame:
+    rows = quality_value.genome_qv(x.contigs, base_errors.final_filter(x.table, x.contigs), x.structural.anomalies, x.mask)
+    return rows.withColumn("qv", F.round("qv", 6))
+
+
+@query
+def haplotype_suffixes(x: Fixture) -> DataFrame:
+    return repeats.haplotype_suffixes(x.contigs)
+
+
+@query
+def identical_kmers(x: Fixture) -> DataFrame:
+    named = x.seqs.where("length(seq) > 0").select("contig", F.length("seq").cast("long").alias("len"), (F.col("doc_id") % 2).cast("string").alias("haplotype"))
+    return repeats.identical_regions(composition.sequence_chunks(x.seqs, overlap=149), named)
+
+
+@query
+def masked_length(x: Fixture) -> DataFrame:
+    return intervals.total_length(x.mask)
+
+
+@query
+def masked_length_raw(x: Fixture) -> DataFrame:
+    return intervals.total_length(x.mask, merged=False)
+
+
+@query
+def legacy_error_type(x: Fixture) -> DataFrame:
+    low = F.when(F.col("flag") == 4, "Low depth; ").otherwise("")
+    rest = F.when(F.col("nm") > 4, "High clip ratio").when(F.col("nm") > 2, "High deletion reads ratio").when(F.col("nm") > 1, "Terminal region anomaly").otherwise("none")
+    return x.reads.groupBy(error_type(F.concat(low, rest)).alias("error_type")).agg(F.count("*").alias("n"))
+
+
+@query
+def stage_counts(x: Fixture) -> DataFrame:
+    return quality_value.stage_counts(reads=x.reads, windows=intervals.tumbling_windows(x.contigs, 50), mask=x.mask)
+
+
+QUERIES["cigar_ops"] = QUERIES.pop("cigar_operations")
