@@ -44,6 +44,7 @@ VIEWS = {
 NEEDS = {
     "contigs": ["contigs"],
     "reads": ["contigs", "reads_base", "reads_pos", "reads_end", "reads_kept", "reads"],
+    "reads_end": ["contigs", "reads_base", "reads_pos", "reads_end"],
     "mask": ["contigs", "mask"],
     "seqs": ["seqs"],
 }
@@ -61,7 +62,13 @@ def oracle(sql: str, *views: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the Parquet tables in sf_dir, lazily."""
+    """A view over the Parquet tables in sf_dir, lazily.
+
+    Reads are made in two steps with the first kept in memory: as one expression their nested cases are too long to compile.
+    """
+    if name == "reads":
+        rest = ",\n".join(f"{v} AS (\n{VIEWS[v].replace('from reads_end e', 'from {reads_end} e')}\n)" for v in ("reads_kept", "reads"))
+        return spark.sql(f"WITH {rest}\nSELECT * FROM reads", reads_end=view(spark, sf_dir, "reads_end").persist())
     order = [v for v in VIEWS if v in NEEDS[name]]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if any("{" + t + "}" in VIEWS[v] for v in order)}
     sql = with_clause(name, **{t: "{" + t + "}" for t in TABLES}, all="") + f"\nSELECT * FROM {name}"

@@ -33,8 +33,8 @@ def depth_changes(reads: DataFrame, through_gaps: bool = False) -> DataFrame:
     return reads.where("start0 < end0").select("contig", F.explode(edges).alias("e")).groupBy("contig", F.col("e.pos").alias("pos")).agg(F.sum("e.delta").alias("delta"))
 
 
-def depth_runs(reads: DataFrame, contigs: DataFrame, through_gaps: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """(contig, start0, end0, depth) over each contig from 0 to its end, runs without a read included.
+def depth_pieces(reads: DataFrame, contigs: DataFrame, through_gaps: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """(contig, start0, end0, depth) over each contig from 0 to its end, stretches without a read included; neighbours may have equal depth.
 
     Changes are summed by position first. Running sums are taken inside chunks of a contig, and a chunk's start is the sum of the chunks before
     it, so one task orders the positions of a chunk.
@@ -52,7 +52,12 @@ def depth_runs(reads: DataFrame, contigs: DataFrame, through_gaps: bool = False,
         (F.col("before") + F.sum("delta").over(inside.rowsBetween(Window.unboundedPreceding, 0))).alias("depth"),
     )
     runs = rows.join(contigs.select("contig", "len"), "contig").where("end0 is not null and start0 < end0 and end0 <= len")
-    return joined_runs(runs.select(*KEY, "depth"))
+    return runs.select(*KEY, "depth")
+
+
+def depth_runs(reads: DataFrame, contigs: DataFrame, through_gaps: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """`depth_pieces` with neighbours of equal depth as one run."""
+    return joined_runs(depth_pieces(reads, contigs, through_gaps, chunk), chunk)
 
 
 def joined_runs(runs: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -82,7 +87,7 @@ def low_depth_runs(runs: DataFrame, contigs: DataFrame, fraction: float = 0.1) -
 
 def low_depth_windows(reads: DataFrame, contigs: DataFrame, window: int = 50, fraction: float = 0.1) -> DataFrame:
     """Tumbling windows with a base of low depth: the candidates for base errors."""
-    low = low_depth_runs(depth_runs(reads, contigs), contigs, fraction)
+    low = low_depth_runs(depth_pieces(reads, contigs), contigs, fraction)
     keys = binned(low.select(*KEY), window).select("contig", F.col("bin").alias("start0")).distinct()
     return tumbling_windows(contigs, window).join(keys, ["contig", "start0"], "left_semi")
 

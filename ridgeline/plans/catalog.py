@@ -20,24 +20,26 @@ __all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-#: Views by session, folder and name. They stand for tables that a real run reads from files, so each is made once and kept.
-_views: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _kept(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _views:
-        _views[key] = view(spark, sf_dir, name).persist()
-    return _views[key]
+#: What several queries share, by session, folder and name. A real run writes these once and reads them back; here they are kept in memory.
+_kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Fixture:
     """The views of one folder, and what several queries share."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.view = lambda name: _kept(spark, sf_dir, name)
+        self.spark, self.sf_dir = spark, sf_dir
         self.contigs = self.view("contigs")
 
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _kept:
+            _kept[key] = make().persist()
+        return _kept[key]
+
+    def view(self, name: str) -> DataFrame:
+        return self.kept(name, lambda: view(self.spark, self.sf_dir, name))
+
     @property
     def reads(self) -> DataFrame:
         mismatches = F.when(F.col("mm0").isNotNull(), F.array("mm0")).otherwise(F.array().cast("array<bigint>"))
@@ -60,7 +62,7 @@ class Fixture:
 
     @property
     def candidates(self) -> DataFrame:
-        return base_errors.candidates(reads.perfect_reads(self.platform("short")), self.contigs)
+        return self.kept("candidates", lambda: base_errors.candidates(reads.perfect_reads(self.platform("short")), self.contigs))
 
     @property
     def chunks(self) -> DataFrame:
@@ -75,7 +77,10 @@ class Fixture:
 
     @property
     def structural(self) -> structural_errors.StructuralErrors:
-        return structural_errors.structural_errors(self.platform("ont"), self.contigs)
+        found = structural_errors.structural_errors(self.platform("ont"), self.contigs)
+        stats = self.kept("window_stats", lambda: found.stats)
+        tagged = structural.anomalies(stats)
+        return found._replace(stats=stats, anomalies=tagged, summary=structural.anomaly_summary(tagged, self.contigs), merged=structural.merged_anomalies(tagged), masked=tagged)
 
 
 def query(f: Callable[[Fixture], DataFrame]) -> Callable[[Fixture], DataFrame]:
@@ -271,7 +276,7 @@ def window_support(x: Fixture) -> DataFrame:
 @query
 def support_merge(x: Fixture) -> DataFrame:
     found = x.candidates
-    hifi = support.window_support(found, x.platform("hifi")).where("start0 % 100 <> 0")
+    hifi = support.window_support(found, x.platform("hifi")).where("avg_depth > 0")
     return support.merged_support(found, hifi, support.window_support(found, x.platform("ont")))
 
 

@@ -167,7 +167,7 @@ ORACLES = {
     "nonspanning_regions": oracle(GAPS + " SELECT contig, start0, end0 FROM gaps", R),
     "nonspanning_windows_2k": oracle(GAPS + " SELECT contig, start0, end0 FROM gaps2k", R),
     "window_support": oracle(CAND + SUPPORT.format(p="hifi") + " SELECT contig, start0, end0, min_support, avg_depth FROM hifi", R),
-    "support_merge": oracle(CAND + SUPPORT.format(p="hifi") + SUPPORT.format(p="ont") + " SELECT c.contig, c.start0, c.end0, coalesce(h.min_support, -1) AS hifi, coalesce(h.avg_depth, -1.0e0) AS hifi_depth, coalesce(o.min_support, -1) AS ont, coalesce(o.avg_depth, -1.0e0) AS ont_depth FROM cand c LEFT JOIN (SELECT * FROM hifi WHERE start0 % 100 <> 0) h USING (contig, start0, end0) LEFT JOIN ont o USING (contig, start0, end0)", R),
+    "support_merge": oracle(CAND + SUPPORT.format(p="hifi") + SUPPORT.format(p="ont") + " SELECT c.contig, c.start0, c.end0, coalesce(h.min_support, -1) AS hifi, coalesce(h.avg_depth, -1.0e0) AS hifi_depth, coalesce(o.min_support, -1) AS ont, coalesce(o.avg_depth, -1.0e0) AS ont_depth FROM cand c LEFT JOIN (SELECT * FROM hifi WHERE avg_depth > 0) h USING (contig, start0, end0) LEFT JOIN ont o USING (contig, start0, end0)", R),
     "base_composition": oracle(W50 + COMPOSED.format(src="w50") + " SELECT contig, start0, end0, ag, ct, gc FROM comp", "contigs", "seqs"),
     "be_support_table": oracle(TABLE + f" SELECT {TABLE_COLUMNS} FROM tab", R, "seqs"),
     "be_final": oracle(TABLE + f" SELECT {TABLE_COLUMNS} FROM good WHERE NOT ok", R, "seqs"),
