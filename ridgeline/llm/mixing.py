@@ -132,3 +132,31 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n, md5(concat('ridgeline-mix-1|', coalesce(concat('=', doc_id), '-'))) AS h FROM documents
+), s AS (SELECT source, cast(sum(n) AS bigint) AS size FROM d GROUP BY source), w AS (
+  SELECT *, [3.0e0, 1.0e0, 2.0e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2.0e0 * size AS lim FROM s
+), f AS (
+  SELECT *, lim / weight AS fill, (1.5e0 * sum(size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0e0))
+    / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+), g AS (
+  SELECT source, size, least(lim, weight * coalesce((SELECT arg_min(level, fill) FROM f WHERE level <= fill), (SELECT max(fill) FROM f))) AS target FROM f
+), q AS (
+  SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source NULLS LAST, k) AS seat
+  FROM (SELECT source, target, unnest(range(cast(target AS bigint) // 64 + 100)) AS k FROM g WHERE target > 0)
+), won AS (SELECT source, count(*) AS quota FROM q WHERE seat <= (SELECT floor(sum(target) / 64 + 0.5e0) FROM g) GROUP BY source), plan AS (
+  SELECT g.*, greatest((g.size + 63) // 64, 1) AS nb, least(coalesce(won.quota, 0), 2 * greatest((g.size + 63) // 64, 1)) AS quota,
+    cast(concat('0x', substr(md5(concat('ridgeline-mix-1/turn|', coalesce(concat('=', g.source), '-'))), 1, 7)) AS bigint) AS turn
+  FROM g LEFT JOIN won ON won.source IS NOT DISTINCT FROM g.source
+), p AS (
+  SELECT d.*, cast(coalesce(sum(n) OVER (PARTITION BY source ORDER BY h, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS start FROM d
+), b AS (
+  SELECT p.doc_id, p.h, p.n, p.start, plan.*, unnest(CASE WHEN p.n > 0 THEN range(p.start // 64, (p.start + p.n - 1) // 64 + 1) ELSE [NULL] END) AS b FROM p JOIN plan ON plan.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, cast(n AS bigint) AS size, cast(size AS bigint) AS source_size, target, cast(coalesce(sum((least(start + n, (b + 1) * 64) - greatest(start, b * 64))
+  * (quota // nb + CASE WHEN (cast(b AS hugeint) * (2305843009213693951 % nb) + turn % nb) % nb < quota % nb THEN 1 ELSE 0 END)), 0) AS bigint) AS taken
+FROM b GROUP BY doc_id, h, start, n, size, target
+"""

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_shards": sharding.OP3_SQL,
+    "op4_mixing": mixing.OP4_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
 }

@@ -59,3 +59,24 @@ def op3_shards(spark, sf_dir: str) -> DataFrame:
     )
     out = shard_rows(docs, 16, ties=("size", "text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The checksum is worked out byte by byte from its polynomial's table.
+OP3_SQL = r"""
+WITH bits AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) t(i)
+), tab AS (SELECT list(v ORDER BY i) AS t FROM bits), d AS (
+  SELECT doc_id, source, coalesce(strlen(text), 0) + 1 AS size, hex(coalesce(text, '')) AS x, md5(concat('ridgeline-shards-1|', coalesce(concat('=', doc_id), '-'))) AS h FROM documents
+), c AS (
+  SELECT doc_id, source, size, h, xor(4294967295, list_reduce(
+    list_prepend(cast(4294967295 AS bigint), list_transform(range(0, length(x), 2), lambda i: cast(concat('0x', substr(x, cast(i + 1 AS bigint), 2)) AS bigint))),
+    lambda a, b: xor(a // 256, t[(xor(a, b) & 255) + 1]))) AS text_crc32 FROM d, tab
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1 AS k, count(*) OVER (PARTITION BY source) AS n,
+    (cast(concat('0x', substr(md5(concat('ridgeline-shards-1/start|', coalesce(concat('=', source), '-'))), 1, 8)) AS bigint) + 0.5e0) / 4294967296.0e0 AS start FROM c
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY (k + start) / cast(n AS double), source NULLS LAST, h, doc_id NULLS FIRST, size, text_crc32) - 1 AS p, count(*) OVER () AS total FROM k
+)
+SELECT doc_id, cast(size AS bigint) AS size, cast(text_crc32 AS bigint) AS text_crc32, 'rows' AS law, cast(p * 16 // total AS int) AS shard,
+  cast(p - ((p * 16 // total) * total + 15) // 16 AS bigint) AS slot, cast(NULL AS int) AS grown_shard FROM p
+"""
