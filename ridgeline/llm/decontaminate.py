@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.shared import table
-from ridgeline.llm.words import mixed, pieces, shingles_of, words_of
+from ridgeline.llm.words import Words, mixed, pieces, shingles_of, words_of
 
 #: Bytes of item text in a block; more items make more blocks.
 BLOCK_BYTES = 4 << 20
@@ -40,18 +41,23 @@ class Items:
     place_of: np.ndarray
 
 
+def lowered(column: pa.Array) -> Iterator[tuple[int, Words]]:
+    """(row of the first text, words) for pieces of a string column, letters of any script in lower case."""
+    for piece in pieces(pc.utf8_lower(column)):
+        yield piece.first, words_of(piece, lower=False)
+
+
 def segments_of(items: pa.RecordBatch) -> Items:
-    """Items' words, A-Z lowered. Items of under GRAM words have no n-gram and match nothing."""
+    """Items' words in lower case. Items of under GRAM words have no n-gram and match nothing."""
     segments, owner, grams, where, place = [], [], [], [], []
-    for piece in pieces(items.column(1)):
-        words = words_of(piece)
-        for i in range(len(piece.begins) - 1):
+    for begin, words in lowered(items.column(1)):
+        for i in range(len(words.begins) - 1):
             h = words.hashes[words.begins[i] : words.begins[i + 1]]
             cuts = list(range(0, max(1, len(h) - SEGMENT + 1), SEGMENT))
             for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
                 part = h[a:b]
                 if len(part) >= GRAM:
-                    owner.append(items.column(0)[piece.first + i].as_py())
+                    owner.append(items.column(0)[begin + i].as_py())
                     found = grams_of(part)
                     grams.append(found)
                     where.append(np.full(len(found), len(segments)))
@@ -92,8 +98,8 @@ class Lookup:
 def count_grams(batches: Iterator[pa.RecordBatch], grams: np.ndarray) -> Iterator[pa.RecordBatch]:
     look, total = Lookup(grams), np.zeros(len(grams), np.int64)
     for batch in batches:
-        for piece in pieces(batch.column(0)):
-            hashes, of = shingles_of(words_of(piece), GRAM)
+        for _, words in lowered(batch.column(0)):
+            hashes, of = shingles_of(words, GRAM)
             at, k = look.find(hashes)
             pairs = np.unique(of[at].astype(np.int64) * len(grams) + k)
             total += np.bincount(pairs % max(1, len(grams)), minlength=len(grams))
@@ -146,8 +152,7 @@ def align_texts(batches: Iterator[pa.RecordBatch], items: Items, seeds: np.ndarr
     lengths = np.array([len(s) for s in items.segments], np.int64)
     for batch in batches:
         found: list[tuple[int, int, int, int, int]] = []
-        for piece in pieces(batch.column(1)):
-            words = words_of(piece)
+        for base, words in lowered(batch.column(1)):
             hashes, of = shingles_of(words, GRAM)
             at, k = look.find(hashes)
             at, k = (x[(np.diff(words.begins) >= GRAM)[of[at]]] for x in (at, k))
@@ -185,7 +190,7 @@ def align_texts(batches: Iterator[pa.RecordBatch], items: Items, seeds: np.ndarr
                     _, back = align(padded([a[x][::-1] for x in good], 0), padded([b[x][: end[x] + 1][::-1] for x in good], 1))
                     for x, r in zip(good.tolist(), back.tolist(), strict=True):
                         y = some[x]
-                        found.append((piece.first + int(text[heads[y]]), int(items.item[segment[heads[y]]]), float(score[x]) / (MATCH * len(a[x])), int(low[y] + end[x] - r), int(low[y] + end[x]) + 1))
+                        found.append((base + int(text[heads[y]]), int(items.item[segment[heads[y]]]), float(score[x]) / (MATCH * len(a[x])), int(low[y] + end[x] - r), int(low[y] + end[x]) + 1))
         best: dict[tuple[int, int], tuple] = {}
         for row in sorted(found, key=lambda r: (r[0], r[1], -r[2], r[3])):
             best.setdefault(row[:2], row)
@@ -198,7 +203,7 @@ def align_texts(batches: Iterator[pa.RecordBatch], items: Items, seeds: np.ndarr
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", least: float = 0.5, rarest: float = 0.5, least_seeds: int = 8) -> DataFrame:
     """(id, item_id, score, first_word, end_word): the texts of docs (id, text) that hold items (item_id, text) or edited copies.
 
-    Words are compared with A-Z lowered. Seeds are the rarest half of an item's n-grams by the number of texts that hold
+    Words are compared in lower case. Seeds are the rarest half of an item's n-grams by the number of texts that hold
     them, counted over all texts. The score of an alignment is its points (2 for a match, -1 for a mismatch or a gap) over those of an
     exact copy of the item (of a 128-word segment of a long item); the best place in a text counts. Null and empty texts and
     items, and items of under three words, match nothing. A null item_id is dropped; repeated rows each get their rows, repeated

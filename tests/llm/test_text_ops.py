@@ -87,6 +87,9 @@ def test_contaminated_finds_copies_and_edits_and_leaves_the_rest(spark):
     assert Counter((r.doc_id, r.item_id) for r in out) == {(1, 1): 1, (2, 2): 1, (6, 0): 2, (None, 3): 1}
     hit = {r.doc_id: r for r in out}
     assert (hit[1].score, hit[1].first_word, hit[1].end_word) == (1.0, 80, 110)
+    accents = [(1, "é à ç ê ö ü ñ á è ï ô û â î ë"), (2, "É À Ç Ê Ö Ü Ñ Á È Ï Ô Û Â Î Ë")]
+    both = decontaminate.contaminated(spark.createDataFrame(accents, "doc_id bigint, text string"), spark.createDataFrame(accents[:1], "item_id bigint, text string"))
+    assert {(r.doc_id, r.score) for r in both.collect()} == {(1, 1.0), (2, 1.0)}
     assert hit[2].score == pytest.approx((28 * 2 - 2) / 60) and (hit[2].first_word, hit[2].end_word) == (200, 230)
 
 
