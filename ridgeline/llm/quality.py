@@ -37,7 +37,7 @@ class Rules:
     max_repeat_percent: int = 50
     central: float = 0.75
     steps: int = 5
-    cutoff: float = 50.0
+    cutoff: float = 42.0
     min_group: int = 30
     floors: tuple[float, ...] = (0.05, 0.04, 0.15, 0.15)
 
