@@ -12,7 +12,7 @@ BE, SE = BaseErrorConfig(), StructuralErrorConfig()
 
 def terminal_region(start0: Column, end0: Column, length: Column, size: int = BE.terminal) -> Column:
     """Whether a region touches the first or last `size` bases, borders included; false for an unknown contig."""
-    return F.coalesce((start0 <= size) | (end0 >= length - size), F.lit(False))
+    return length.isNotNull() & ((start0 <= size) | (end0 >= length - size))
 
 
 def terminal_window(start0: Column, length: Column, size: int = SE.terminal) -> Column:

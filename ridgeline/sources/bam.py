@@ -203,7 +203,7 @@ def encode(row: dict, ids: dict[str, int]) -> bytes:
     name, seq = row["read_id"].encode() + b"\0", row["seq"] or ""
     codes = [LETTERS.index(c) if c in LETTERS else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
     packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2))
-    tags = b"" if row["nm"] is None else b"NMi" + struct.pack("<i", row["nm"])
+    tags = b"" if row["nm"] is None else b"NMi" + struct.pack("<i", int(row["nm"]))
     tags += b"" if row["sa"] is None else b"SAZ" + row["sa"].encode() + b"\0"
     body = struct.pack("<iiBBHHHiiii", ids.get(row["contig"], -1), row["start0"], len(name), row["mapq"] or 0, 0, len(ops), row["flag"], len(seq), -1, -1, 0)
     body += name + b"".join(struct.pack("<I", n << 4 | op) for n, op in ops) + packed + b"\xff" * len(seq) + tags

@@ -16,7 +16,7 @@ TEXT = ("org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.had
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    pairs = spark.sparkContext.newAPIHadoopFile(path, *TEXT)
+    pairs = spark.sparkContext.newAPIHadoopFile(path, *TEXT, conf={"textinputformat.record.delimiter": "\n"})
     return spark.createDataFrame(pairs, "offset bigint, line string")
 
 

@@ -234,7 +234,7 @@ def small_run(spark, tmp_path_factory):
     seqs = genome(rng, chr1_MATERNAL=64_000, chr1_PATERNAL=40_000)
     (top / "g.fa").write_text("".join(f">{n}\n" + "".join(s[i : i + 80] + "\n" for i in range(0, len(s), 80)) for n, s in seqs.items()))
     hole = lambda r, a, b: not (r[3] == "chr1_MATERNAL" and r[4] < b and r[5] > a)
-    sets = {"short": [r for r in sampled(rng, seqs, 7000, 100, 151, "short") if hole(r, 20_000, 24_000) and hole(r, 30_000, 30_050)]}
+    sets = {"short": [r for r in sampled(rng, seqs, 16000, 100, 151, "short") if hole(r, 20_000, 24_000) and hole(r, 30_000, 30_050)]}
     for name, n, low, high in (("hifi", 400, 3000, 9000), ("ont", 400, 32_000, 38_000)):
         rows = []
         for r in sampled(rng, seqs, n, low, high, name):
