@@ -208,7 +208,7 @@ def test_passages_are_found_and_clean_texts_left_alone(spark):
 def test_every_exact_passage_is_covered(spark):
     rng = random.Random(12)
     pool = [prose(rng, 70) for _ in range(4)]
-    docs = [(i, " ".join([prose(rng, rng.randrange(0, 80)), rng.choice(pool), prose(rng, rng.randrange(0, 80))])) for i in range(40)]
+    docs = [(i, " ".join([prose(rng, rng.randrange(0, 80)), f"before{i}", rng.choice(pool), f"after{i}", prose(rng, rng.randrange(0, 80))])) for i in range(40)]
     got = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     covered = {i: set() for i, _ in docs}
     for r in got:
