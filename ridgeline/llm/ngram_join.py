@@ -19,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.shared import components, fetched, map_runs, materialize, table
+from ridgeline.llm.shared import SMALL_BATCHES, components, fetched, heads, map_runs, materialize, table
 from ridgeline.llm.words import mixed, pieces, shingles_of, words_of
 
 #: Rows of (part, id) that a task gathers before it merges equal parts.
 GATHER = 1 << 20
 #: Shingles that a block may hold; a unit of work has two blocks at most.
-BLOCK_SHINGLES = 1 << 19
+BLOCK_SHINGLES = 1 << 20
 #: Sets whose union makes a row of the matrix.
 ROW = 24
 #: A shingle is common if a task finds it in this share of its texts; at most HOT_MOST of the most frequent are set aside.
-HOT_SHARE, HOT_LEAST, HOT_MOST = 0.004, 8, 1 << 16
+HOT_SHARE, HOT_LEAST, HOT_MOST = 0.001, 4, 1 << 16
 U = np.uint64
 
 
@@ -46,7 +46,7 @@ def parts_of_class(c: int, percent: int) -> tuple[int, int]:
     """
     largest = math.ceil(1.5 ** (c + 1))
     differ = (100 - percent) * 2 * largest // (100 + percent)
-    spare = -(-differ // 12)
+    spare = -(-differ // 6)
     return differ + 1 + spare, spare
 
 
@@ -133,7 +133,10 @@ def hot_rows(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 
 
 def merged_keys(batches: Iterator[pa.RecordBatch], size: int, percent: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, a, b): each part's hash once for all texts that a task has gathered, with the smallest id; links a - b to the others' ids."""
+    """(key, id): each part's hash once for all texts that a task has gathered, with the smallest id.
+
+    Each other text with that part becomes a pair with the smallest, once however many parts they share; a pair is two rows under a key of its own.
+    """
 
     def flush() -> pa.RecordBatch:
         keys, ids = np.concatenate(all_keys), np.repeat(np.array(all_ids, np.int64), list(map(len, all_keys)))
@@ -144,13 +147,11 @@ def merged_keys(batches: Iterator[pa.RecordBatch], size: int, percent: int, hot:
         head = ids[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
         other = ~new & (ids != head)
         pairs = np.unique(np.stack([head[other], ids[other]], axis=1), axis=0)
-        k, none = int(new.sum()), pa.nulls
-        key = pa.concat_arrays([pa.array(keys[new].view(np.int64)), none(len(pairs), pa.int64())])
-        a = pa.array(np.concatenate([ids[new], pairs[:, 0]]))
-        b = pa.concat_arrays([none(k, pa.int64()), pa.array(pairs[:, 1])])
-        return pa.RecordBatch.from_arrays([key, a, b], names=["key", "a", "b"])
+        own = mixed(mixed(pairs[:, 0].view(U)) + pairs[:, 1].view(U) * U(0x9E3779B97F4A7C15))
+        key = np.concatenate([keys[new], own, own]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([ids[new], pairs[:, 0], pairs[:, 1]]))], names=["key", "id"])
 
-    all_keys, all_ids, seen, waiting = [], [], set(), 0
+    all_keys, all_ids, waiting = [], [], 0
     for batch in batches:
         ids = batch.column(0).to_pylist()
         for piece in pieces(batch.column(1)):
@@ -264,14 +265,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", size: int = 3, p
     sets = about.where("n is not null").select("id", "n", "fp")
     common = about.where("hot is not null").groupBy("hot").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "hot").limit(HOT_MOST)
     hot = np.sort(np.array([r[0] for r in common.select("hot").collect()], np.int64).view(U))  # at most HOT_MOST numbers
-    keyed = materialize(slim.mapInArrow(lambda it: merged_keys(it, size, percent, hot), "key bigint, a bigint, b bigint"), "keys")
-    keys = keyed.where("key is not null")
-    shared = materialize(keys.groupBy("key").agg(F.min("a").alias("head"), F.count("*").alias("n")).where("n > 1"), "keys")
-    met = fetched(keys.select("key", "a"), shared.where("n > 1").select("key", "head"), "key", "keys")
-    edges = met.where("a <> head").select(F.col("head").alias("a"), F.col("a").alias("b"))
-    groups = materialize(components(keyed.where("b is not null").select("a", "b").unionByName(edges), "groups"), "groups")
+    keyed = slim.mapInArrow(lambda it: merged_keys(it, size, percent, hot), "key bigint, id bigint")
+    edges = heads(keyed).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    groups = materialize(components(edges, "groups"), "groups")
     # of equal sets one member
-    same = sets.where("n > 0 and id is not null").groupBy("n", "fp").agg(F.min("id").alias("rep"))
+    same = materialize(sets.where("n > 0 and id is not null").groupBy("n", "fp").agg(F.min("id").alias("rep")), "sets")
     members = materialize(groups.join(same.withColumnRenamed("rep", "id"), "id"), "members")
     total = members.groupBy("component").agg(F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
     members = members.join(total.where("k > 1"), "component").withColumn("blocks", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int"))
@@ -281,7 +279,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", size: int = 3, p
     unit = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("left"), F.greatest(x, F.col("block")).alias("right")))
     work = texts.select("id", "text", "component", "block", F.explode(unit).alias("u"))
     work = work.select(F.concat_ws("/", "component", "u.left", "u.right").alias("unit"), "u.left", "u.right", "block", "id", "text")
-    links = map_runs(work, "unit", lambda rows: link_unit(rows, size, percent), "a bigint, b bigint")
+    links = materialize(map_runs(work, "unit", lambda rows: link_unit(rows, size, percent), "a bigint, b bigint"), "links", SMALL_BATCHES)
     equal = sets.where("n > 0 and id is not null").join(same, ["n", "fp"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     linked = components(links.unionByName(equal), "links").select("id", "component")
     out = sets.join(linked, "id", "left")
