@@ -13,7 +13,7 @@ SPANNING = """, sw AS (
 )"""
 
 #: A merge of relation {src}; {cmp} is > for regions that may touch, >= where they must overlap.
-MERGE = """, {out}_1 AS (SELECT contig, start0, end0, max(end0) OVER (PARTITION BY contig ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {src} WHERE start0 < end0),
+MERGE = """, {out}_1 AS (SELECT contig, start0, end0, max(end0) OVER (PARTITION BY contig ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT contig, start0, end0 FROM {src} WHERE start0 < end0)),
 {out}_2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start0 {cmp} reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start0, end0 ROWS UNBOUNDED PRECEDING) AS island FROM {out}_1),
 {out} AS (SELECT contig, min(start0) AS start0, max(end0) AS end0 FROM {out}_2 GROUP BY contig, island)"""
 
