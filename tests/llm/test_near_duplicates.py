@@ -220,3 +220,18 @@ def test_every_exact_passage_is_covered(spark):
             window = tuple(words[k : k + 50])
             assert window not in seen or set(range(k, k + 50)) <= covered[i]
         seen |= {tuple(words[k : k + 50]) for k in range(len(words) - 49)}
+
+
+def test_large_requests_take_the_shuffle_join(spark, monkeypatch):
+    monkeypatch.setattr("ridgeline.llm.shared.FEW", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = corpus(7, 80)
+        frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame, size=3, percent=80).collect()}
+        assert got == plain_components(docs, 3, 80)
+        lines = line_corpus(2)
+        got = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_decisions(spark.createDataFrame(lines, "doc_id bigint, text string")).collect()}
+        assert got == plain_decisions(spark, lines, line_dedup.LineRules())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
