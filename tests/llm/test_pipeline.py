@@ -19,7 +19,7 @@ def corpus(tmp_path_factory, spark):
     items = [(i, prose(rng, 40)) for i in range(5)]
     texts = [prose(rng, rng.randrange(60, 180)) for _ in range(120)]
     texts += [texts[i] for i in range(10)] + [texts[20] + " " + prose(rng, 3)]
-    texts += [prose(rng, 70) + " " + items[2][1] + " " + prose(rng, 70), " | ".join(texts[40].split()), "too few words", "", None]
+    texts += [prose(rng, 70) + " " + items[2][1] + " " + prose(rng, 70), " ".join(w + "|#$" for w in texts[40].split()), "too few words", "", None]
     docs = [(i, t, "en", ["a", "b", None][i % 3], len(t or "")) for i, t in enumerate(texts)]
     docs += [docs[50], (None, prose(rng, 90), "en", "a", 5), (None, None, None, None, None)]
     spark.createDataFrame(docs, DOCS).repartition(3).write.parquet(f"{top}/documents.parquet")

@@ -145,7 +145,7 @@ def test_judge_against_a_plain_estimate(spark):
         text = prose(rng, rng.randrange(60, 200))
         if i % 24 == 7:
             junk.add(i)
-            text = " | ".join(text.split())
+            text = " ".join(w + "|#$" for w in text.split())
         docs.append((i, text, "en" if i % 3 else "fr", "a" if i % 2 else None, 5))
     docs += [(1000, None, None, None, 1), (1001, "", "en", "a", 1), (1002, "few words", "en", "a", 1), (1003, "ab cd ef " * 40, "en", "a", 1), (1004, prose(rng, 90), "xx", "rare", 1)]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_words int")
