@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ridgeline.llm.mixing import mixed_rows
 from ridgeline.llm.ngram_join import jaccard_components
 from ridgeline.llm.quality import kept_rows
 from ridgeline.llm.sharding import shard_rows
-from ridgeline.llm.shared import materialize, table
+from ridgeline.llm.shared import fetched, materialize, table
 
 SHARDS = 16
 
@@ -49,8 +50,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot."""
-    return shard_rows(docs.withColumn("__tie", F.xxhash64("text")), SHARDS, ties=("__tie",)).drop("__tie")
+    """Documents with their shard and slot.
+
+    Ranks are found for (file, row) and a few short columns; texts only meet the result. Rows that come from no file are ranked whole.
+    """
+    docs = docs.drop("shard", "slot")
+    try:
+        placed = docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return shard_rows(docs.withColumn("__tie", F.xxhash64("text")), SHARDS, ties=("__tie",)).drop("__tie")
+    slim = placed.select("doc_id", "source", F.xxhash64("text").alias("__tie"), "__file", "__row")
+    shards = materialize(shard_rows(slim, SHARDS, ties=("__tie",)).select("__file", "__row", "shard", "slot"), "pipeline")
+    return fetched(placed, shards.where("slot >= 0"), ["__file", "__row"], "pipeline").drop("__file", "__row")
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", keep_first), ("decontamination", keep_clean), ("mixing", mix_sources), ("sharding", cut_shards)]
