@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.decontaminate import contaminated
-from ridgeline.llm.mixing import mixed_rows
+from ridgeline.llm.mixing import mix, mixed_rows, word_count
 from ridgeline.llm.ngram_join import jaccard_components
 from ridgeline.llm.quality import kept_rows
 from ridgeline.llm.sharding import shard_rows
@@ -44,9 +44,28 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn("__row", row).join(hits, "__row", "left_anti").select(docs.columns)
 
 
+def with_places(docs: DataFrame) -> DataFrame | None:
+    """docs with the file and row that each row comes from; None if they come from no file."""
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return None
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for."""
-    return mixed_rows(docs)
+    """Documents as often as the target weights of their sources ask for.
+
+    Blocks are chosen for (file, row) and a few short columns; texts only meet the result. Rows that come from no file are mixed whole.
+    """
+    placed = with_places(docs)
+    if placed is None:
+        return mixed_rows(docs)
+    row = F.struct("doc_id", F.xxhash64("text")).cast("string").alias("__id")
+    slim = placed.select("source", word_count(F.col("text")).alias("size"), row, "__file", "__row")
+    taken = mix(slim, id_col="__id").where("copies > 0").select("__file", "__row", F.col("copies").alias("__copies"))
+    taken = materialize(taken, "pipeline")
+    out = fetched(placed, taken.where("__copies > 0"), ["__file", "__row"], "pipeline")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +74,8 @@ def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Ranks are found for (file, row) and a few short columns; texts only meet the result. Rows that come from no file are ranked whole.
     """
     docs = docs.drop("shard", "slot")
-    try:
-        placed = docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    except AnalysisException:
+    placed = with_places(docs)
+    if placed is None:
         return shard_rows(docs.withColumn("__tie", F.xxhash64("text")), SHARDS, ties=("__tie",)).drop("__tie")
     slim = placed.select("doc_id", "source", F.xxhash64("text").alias("__tie"), "__file", "__row")
     shards = materialize(shard_rows(slim, SHARDS, ties=("__tie",)).select("__file", "__row", "shard", "slot"), "pipeline")
