@@ -235,3 +235,22 @@ def test_large_requests_take_the_shuffle_join(spark, monkeypatch):
         assert got == plain_decisions(spark, lines, line_dedup.LineRules())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_passages_of_frequent_lines_are_found(spark):
+    rng = random.Random(21)
+    lines = [prose(rng, 13) for _ in range(30)]
+    singles = [(i, "\n".join([prose(rng, 60), line, prose(rng, 60)])) for i, line in enumerate(lines)]
+    passages = ["\n".join(rng.sample(lines, 5)) for _ in range(25)]
+    copies = [(1000 * c + i, "\n".join([prose(rng, 60), p, prose(rng, 60)])) for c in (1, 2) for i, p in enumerate(passages)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(singles + copies, "doc_id bigint, text string").repartition(3)).collect()
+    assert {(2000 + i, 1000 + i) for i in range(25)} <= {(r.doc_id, r.of_id) for r in got if (r.first_word, r.end_word) == (60, 125)}
+
+
+def test_prints_of_windows():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 3, 400).astype(np.uint64) + np.uint64(2**40)
+    start = np.arange(393)
+    got = substring_dedup.window_prints(hashes, start, 7)
+    want = [tuple(hashes[i : i + 7].tolist()) for i in start]
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i, j in combinations(range(393), 2))
