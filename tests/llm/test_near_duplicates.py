@@ -254,3 +254,43 @@ def test_prints_of_windows():
     got = substring_dedup.window_prints(hashes, start, 7)
     want = [tuple(hashes[i : i + 7].tolist()) for i in start]
     assert all((got[i] == got[j]) == (want[i] == want[j]) for i, j in combinations(range(393), 2))
+
+
+def test_passages_on_any_diagonal_are_found(spark, monkeypatch):
+    rng = random.Random(31)
+    lines = [prose(rng, 12) for _ in range(5)]
+    docs, want = [], set()
+    for i in range(12):
+        rng.shuffle(lines)
+        passage = "\n".join(lines)
+        earlier = [prose(rng, 20) + "\n" + line for line in lines]
+        docs.append((10 * i, "\n".join([*earlier, prose(rng, 9), passage, prose(rng, 30)])))
+        docs.append((10 * i + 1, "\n".join([prose(rng, 30), passage, prose(rng, 30)])))
+        docs.append((10 * i + 2, "\n".join([passage, prose(rng, 9), *earlier, passage])))
+        want |= {(10 * i + 1, 30, 90), (10 * i + 2, 229, 289)}
+    words = {i: text.split() for i, text in docs}
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    found = []
+    for listed in (substring_dedup.LISTED, 0):
+        own = []
+        for i, text in docs:
+            rows = substring_dedup.pd.DataFrame({"id": [i], "text": [text], "role": [2]})
+            monkeypatch.setattr(substring_dedup, "LISTED", listed)
+            got = substring_dedup.verify_unit(rows, substring_dedup.Passages())
+            own += [] if got is None else [tuple(x) for x in got.to_numpy()]
+        found.append(own)
+    assert found[0] == found[1] and {(10 * i + 2, 229, 289) for i in range(12)} <= {x[:3] for x in found[0]}
+    got = substring_dedup.repeated_passages(frame).collect()
+    assert all(any(r.doc_id == d and r.first_word <= x and r.end_word >= y for r in got) for d, x, y in want)
+    assert all(r.similarity < 1 or words[r.doc_id][r.first_word : r.end_word] == words[r.of_id][r.of_first_word : r.of_end_word] for r in got)
+
+
+def test_every_edited_passage_meets_its_copy():
+    rng = random.Random(5)
+    for _ in range(40):
+        passage = prose(rng, 100).split()
+        changed = passage[:40] + ["more", "words"] + passage[40:]
+        lead = " ".join(passage[rng.randrange(40) :][:40])
+        rows = substring_dedup.pd.DataFrame({"id": [1, 2], "text": [f"{lead} {prose(rng, 30)} {' '.join(passage)}", prose(rng, 20) + " " + " ".join(changed)], "role": [0, 1]})
+        got = substring_dedup.verify_unit(rows, substring_dedup.Passages())
+        assert any((x.first_word, x.end_word, x.of_first_word) == (20, 122, 70) for x in got.itertuples())
