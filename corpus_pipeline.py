@@ -1,4 +1,8 @@
-"""A training corpus from `documents`: quality rules, near-duplicates, decontamination, mixing and sharding."""
+"""A training corpus from `documents`: quality rules, near-duplicates, decontamination, mixing and sharding.
+
+Every stage keeps all columns as they are, whatever their names; `doc_id`, `text`, `lang` and `source` are the ones that it looks at.
+Empty tables stay empty. Stages that rank or choose rows do so for short rows, and every text is moved once to meet the result.
+"""
 
 from __future__ import annotations
 
@@ -7,79 +11,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.decontaminate import contaminated
-from ridgeline.llm.mixing import mix, mixed_rows, word_count
+from ridgeline.llm.mixing import mix, word_count
 from ridgeline.llm.ngram_join import jaccard_components
 from ridgeline.llm.quality import kept_rows
+from ridgeline.llm.shared import materialize, table
 from ridgeline.llm.sharding import shard_rows
-from ridgeline.llm.shared import fetched, materialize, table
 
 SHARDS = 16
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(row, file, at): each row of docs as a struct, and where it stands. Rows that come from no file are written first."""
+    whole = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select(whole(docs), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
+    except AnalysisException:
+        docs = materialize(docs, "pipeline")
+        place = docs.metadataColumn("_metadata")
+        return docs.select(whole(docs), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules don't reject."""
+    """Documents that the quality rules don't reject; null, empty and short texts go. Repeated rows share their fate."""
     return kept_rows(docs)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id.
 
-    Rows that share an id are one document: the first by text stays. Documents with a null id, or without a word, are in no group and stay.
+    Documents without a word are in no group and stay. Rows are told apart by where they stand if an id is null or repeated: different texts under one
+    id both stay, of repeated rows one does. Null ids come last.
     """
-    found = materialize(jaccard_components(docs, size=5, percent=80), "pipeline")
-    extra = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline")
-    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if not extra.limit(1).count():
-        return left
-    single = left.join(extra, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("row"))
-    return left.join(extra, "doc_id", "left_anti").select(docs.columns).unionByName(single.select("row.*"))
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if not odd.limit(1).count():
+        found = materialize(jaccard_components(docs.select("doc_id", "text"), size=5, percent=80), "pipeline")
+        gone = materialize(found.where("component_id <> doc_id").select("doc_id"), "pipeline")
+        return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = placed(docs).select("row", F.xxhash64("file", "at").alias("key"))
+    found = jaccard_components(rows.select(F.col("key").alias("doc_id"), "row.text"), size=5, percent=80)
+    found = materialize(found.select(F.col("doc_id").alias("key"), "component_id"), "pipeline")
+    order = F.struct(F.col("row.doc_id").isNull().alias("null"), F.col("row.doc_id").alias("doc_id"), "key")
+    ranks = found.join(rows.select("key", order.alias("order")), "key")
+    first = ranks.groupBy("component_id").agg(F.min("order")["key"].alias("key"))
+    gone = materialize(found.join(first, "key", "left_anti").select("key"), "pipeline")
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item or edited copy of one."""
-    row = F.xxhash64("doc_id", "text")
-    hits = contaminated(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    hits = materialize(hits.select(F.col("doc_id").alias("__row")).distinct(), "pipeline")
-    return docs.withColumn("__row", row).join(hits, "__row", "left_anti").select(docs.columns)
-
-
-def with_places(docs: DataFrame) -> DataFrame | None:
-    """docs with the file and row that each row comes from; None if they come from no file."""
-    try:
-        return docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    except AnalysisException:
-        return None
+    """Documents that hold no benchmark item or edited copy of one. Null and empty texts stay; repeated rows share their fate."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    hits = contaminated(rows.select(F.col("key").alias("doc_id"), "row.text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    hits = materialize(hits.select(F.col("doc_id").alias("key")).distinct(), "pipeline")
+    return rows.join(hits, "key", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for.
+    """Documents as often as the target weights of their sources ask for; those without a word are left out.
 
-    Blocks are chosen for (file, row) and a few short columns; texts only meet the result. Rows that come from no file are mixed whole.
+    Blocks of words are chosen over a few short columns; a document comes as often as the block of its middle word. A null source is a
+    source. Repeated rows are mixed one by one; which of them comes more often is open, and makes no difference.
     """
-    placed = with_places(docs)
-    if placed is None:
-        return mixed_rows(docs)
-    row = F.struct("doc_id", F.xxhash64("text")).cast("string").alias("__id")
-    slim = placed.select("source", word_count(F.col("text")).alias("size"), row, "__file", "__row")
-    taken = mix(slim, id_col="__id").where("copies > 0").select("__file", "__row", F.col("copies").alias("__copies"))
-    taken = materialize(taken, "pipeline")
-    out = fetched(placed, taken.where("__copies > 0"), ["__file", "__row"], "pipeline")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    rows = placed(docs)
+    name = F.struct("row.doc_id", F.xxhash64("row.text")).cast("string").alias("name")
+    slim = rows.select("row.source", word_count(F.col("row.text")).alias("size"), name, "file", "at")
+    taken = materialize(mix(slim, id_col="name").where("copies > 0").select("file", "at", "copies"), "pipeline")
+    out = rows.join(taken, ["file", "at"])
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot.
-
-    Ranks are found for (file, row) and a few short columns; texts only meet the result. Rows that come from no file are ranked whole.
-    """
-    docs = docs.drop("shard", "slot")
-    placed = with_places(docs)
-    if placed is None:
-        return shard_rows(docs.withColumn("__tie", F.xxhash64("text")), SHARDS, ties=("__tie",)).drop("__tie")
-    slim = placed.select("doc_id", "source", F.xxhash64("text").alias("__tie"), "__file", "__row")
-    shards = materialize(shard_rows(slim, SHARDS, ties=("__tie",)).select("__file", "__row", "shard", "slot"), "pipeline")
-    return fetched(placed, shards.where("slot >= 0"), ["__file", "__row"], "pipeline").drop("__file", "__row")
+    """Documents with their shard and slot; given columns of these names are replaced. Rows of equal id and text take any order among them."""
+    rows = placed(docs.drop("shard", "slot"))
+    slim = rows.select("row.doc_id", "row.source", F.xxhash64("row.text").alias("tie"), "file", "at")
+    shards = materialize(shard_rows(slim, SHARDS, ties=("tie",)).select("file", "at", "shard", "slot"), "pipeline")
+    return rows.join(shards, ["file", "at"]).select("row.*", "shard", "slot")
 
 
 STAGES = [("quality", keep_good), ("near_duplicates", keep_first), ("decontamination", keep_clean), ("mixing", mix_sources), ("sharding", cut_shards)]

@@ -7,9 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,8 +68,8 @@ def materialize(df: DataFrame, name: str, values: dict[str, str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: A shuffle join whose smaller side is filtered first drops most rows of the other by a Bloom filter, which Spark
-#: limits to 8 MB whatever the size of the tables.
+#: A join of texts with the few that are wanted drops most others by a Bloom filter before they are shuffled, which Spark limits
+#: to 8 MB whatever the size of the tables. The wanted side must hold a comparison, by which Spark sees that a filter is worth it.
 BLOOM = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
@@ -79,22 +77,6 @@ BLOOM = {
 }
 
 
-#: Rows up to which the wanted side of `fetched` is broadcast; some tens of MB.
-FEW = 1 << 19
-
-
-def fetched(rows: DataFrame, wanted: DataFrame, key: str | list[str], name: str) -> DataFrame:
-    """rows joined with the few that are wanted; rows that no key wants are dropped where they are read.
-
-    `wanted` is a written table of short rows. If it has at most FEW of them, it is broadcast and rows stay where they are. A larger one
-    meets rows in a shuffle join, whose result is written, and a Bloom filter drops most others before; for that `wanted` must hold a comparison, by which Spark
-    sees that a filter is worth it.
-    """
-    if wanted.limit(FEW + 1).count() <= FEW:
-        return rows.join(F.broadcast(wanted), key)
-    return materialize(rows.join(wanted, key), name, BLOOM)
-
-
 def hex_bucket(digest: Column, digits: int = 3) -> Column:
     """The leading hex digits of a digest as a number: 16**digits buckets that follow the digest's order."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
@@ -159,32 +141,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return out
 
 
-def _heads(batches: Iterator[pa.RecordBatch], own: int) -> Iterator[pa.RecordBatch]:
-    last_key, last_head = None, 0
-    for batch in batches:
-        key, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        if not len(key):
-            continue
-        new = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        heads = np.where(at >= 0, ids[np.maximum(at, 0)], last_head)
-        last_key, last_head = key[-1], heads[-1]
-        kind = key & 7
-        keep = (ids != heads) | (kind == own)
-        found = np.unique(np.stack([heads[keep], ids[keep], kind[keep]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], names=["head", "id", "kind"])
-
-
-def heads(rows: DataFrame, own: int = -1) -> DataFrame:
-    """(head, id, kind) for rows (key, id): each id with the smallest id of the same key, and the key's last three bits as kind.
-
-    The smallest ids themselves are left out, but for rows of kind `own`. One shuffle; a task streams through its sorted keys, so a key may have any number of
-    rows, and callers let each of their tasks send a key once. Repeated results of a batch come once.
-    """
-    dealt = rows.select("key", "id").repartition(F.col("key")).sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(lambda it: _heads(it, own), "head bigint, id bigint, kind bigint")
-
-
 def runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """The rows of each key, for batches in which equal keys stand together."""
     held: list[pd.DataFrame] = []
