@@ -6,7 +6,6 @@ Empty tables stay empty. Stages that rank or choose rows do so for short rows, a
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +13,12 @@ from ridgeline.llm.decontaminate import contaminated
 from ridgeline.llm.mixing import mix, word_count
 from ridgeline.llm.ngram_join import jaccard_components
 from ridgeline.llm.quality import kept_rows
-from ridgeline.llm.shared import materialize, table
+from ridgeline.llm.shared import materialize, placed, table
 from ridgeline.llm.sharding import shard_rows
 
 SHARDS = 16
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """(row, file, at): each row of docs as a struct, and where it stands. Rows that come from no file are written first."""
-    whole = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    try:
-        place = docs.metadataColumn("_metadata")
-        return docs.select(whole(docs), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
-    except AnalysisException:
-        docs = materialize(docs, "pipeline")
-        place = docs.metadataColumn("_metadata")
-        return docs.select(whole(docs), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules don't reject; null, empty and short texts go. Repeated rows share their fate."""
     return kept_rows(docs)

@@ -64,18 +64,20 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     share: float = 1.5, most: float = 2.0, block: int = BLOCK, n_shards: int = SHARDS, seed: str = SEED,
 ) -> DataFrame:
-    """Adds source_size, target, taken, copies and shard_blocks to each row; sizes are tokens.
+    """Adds source_size, target, taken, copies, shards and shard_blocks to each row; sizes are tokens.
 
     Each source's rows, in seeded order, form one run of tokens cut into blocks of `block`. The blocks of the whole mix are
     dealt to sources by highest quotients, shard after shard: shard_blocks has the source's quota in each of `n_shards` equal
-    shards. A source takes its quota of blocks in seeded order, beginning anew when all are taken. `taken` is the number of the row's tokens in taken
-    blocks, repeats counted, at most ceil(most) times its size; `copies` is how often the block of its middle token is taken. A source misses its
+    shards. Shard after shard draws its quota of the source's blocks, each going on in their seeded order where the one before ended and beginning anew when all
+    are taken. `taken` is the number of the row's tokens in taken
+    blocks, repeats counted, at most ceil(most) times its size; `copies` is how often the block of its middle token is taken, and `shards` has the
+    shard of each copy. A source misses its
     target by a block or two.
     Sizes that are null count 0, such rows take nothing. A null source is a source; null ids are one id, and rows of equal id
     keep an order by size. Given columns with the names of the added ones are replaced. An empty table stays empty.
     Per-source tables have a row a source; a task sorts a 4096th of a source.
     """
-    added = ["source_size", "target", "taken", "copies", "shard_blocks"]
+    added = ["source_size", "target", "taken", "copies", "shards", "shard_blocks"]
     docs = docs.drop(*added)
     names = docs.columns
     work = docs.select(
@@ -103,17 +105,25 @@ def mix(
     turn = F.conv(F.substring(seeded(seed + "/turn", F.col("source")), 1, 7), 16, 10).cast("long")
     work = work.withColumns({"full": F.expr("quota div nb"), "rest": F.expr("quota % nb"), "step": F.expr(f"{PRIME} % nb"), "turn": turn % F.col("nb")})
 
+    def place(b: Column) -> Column:
+        """A block's place in the source's seeded order: draw k of the shards' quotas, one after the other, is of place k % nb."""
+        return ((b.cast("decimal(38,0)") * F.col("step") + F.col("turn")) % F.col("nb")).cast("long")
+
     def times(b: Column) -> Column:
-        """How often a block is taken: its place in the source's seeded order against what the quota leaves over full rounds."""
-        place = ((b.cast("decimal(38,0)") * F.col("step") + F.col("turn")) % F.col("nb")).cast("long")
-        return F.col("full") + F.when(place < F.col("rest"), 1).otherwise(0)
+        """How often a block is drawn."""
+        return F.col("full") + F.when(place(b) < F.col("rest"), 1).otherwise(0)
 
     end = F.col("start") + F.col("n")
     inside = lambda b: F.least(end, (b + 1) * block) - F.greatest(F.col("start"), b * block)
     span = F.sequence(F.expr(f"start div {block}"), F.expr(f"greatest(start, start + n - 1) div {block}"))
     taken = F.when(F.col("n") > 0, F.aggregate(span, F.lit(0).cast("long"), lambda acc, b: (acc + inside(b) * times(b)).cast("long"))).otherwise(F.lit(0).cast("long"))
-    copies = F.when(F.col("n") > 0, times(F.expr(f"(start + n div 2) div {block}"))).otherwise(0).cast("int")
-    work = work.withColumns({"taken": taken, "copies": copies})
+    middle = F.expr(f"(start + n div 2) div {block}")
+    copies = F.when(F.col("n") > 0, times(middle)).otherwise(0).cast("int")
+    work = work.withColumns({"taken": taken, "copies": copies, "middle": place(middle)})
+    draws = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda r: F.col("middle") + r * F.col("nb"))).otherwise(F.array().cast("array<bigint>"))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(n_shards)), lambda j: F.aggregate(F.slice("shard_blocks", F.lit(1), j), F.lit(0).cast("long"), lambda acc, x: acc + x))
+    work = work.withColumn("ends", ends)
+    work = work.withColumn("shards", F.transform(draws, lambda t: F.size(F.filter("ends", lambda e: e <= t))))
     return work.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *added)
 
 

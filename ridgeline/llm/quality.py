@@ -1,7 +1,8 @@
 """Quality rules: fixed bounds, then robust multivariate outliers by minimum covariance determinant.
 
-Each text gives a vector of transformed statistics. For every language and source the mean and covariance of the most central
-three quarters are found by concentration steps over all texts, and texts beyond a Mahalanobis distance are rejected.
+Each text gives a vector of transformed statistics. For every language and source concentration steps over all texts go from several starts to
+the mean and covariance of a central share of them; of what they come to, the estimate with the smallest determinant counts. Texts beyond a
+Mahalanobis distance are rejected.
 """
 
 from __future__ import annotations
@@ -29,15 +30,18 @@ class Rules:
     """Bounds of the fixed rules and of the outlier test.
 
     floors: for each statistic a spread that counts as none; it is added to every covariance, so that a statistic that is the same in most texts
-    of a source doesn't make the others outliers. central: share of the texts that the estimate rests on. cutoff: of the squared distance.
+    of a source doesn't make the others outliers. central: share of the texts that the estimate rests on. tail: the share of normal vectors that the
+    outlier test would reject; its quantile of the chi-squared distribution is the cutoff of the squared distance. It is small since statistics of
+    real texts have heavier tails, and what is clean should stay. settled: steps end when no determinant falls by more than this share, or after max_steps.
     min_group: a source with fewer texts takes the estimate of its language, and a language with fewer that of all texts.
     """
 
     min_words: int = 50
     max_repeat_percent: int = 50
     central: float = 0.75
-    steps: int = 5
-    cutoff: float = 42.0
+    settled: float = 0.001
+    max_steps: int = 12
+    tail: float = 1e-8
     min_group: int = 30
     floors: tuple[float, ...] = (0.05, 0.04, 0.15, 0.15)
 
@@ -131,8 +135,18 @@ def consistency(central: float) -> float:
 BINS, PER_E = 512, 24.0
 
 
+def quantile(tail: float) -> float:
+    """The squared distance that a share `tail` of a normal distribution exceeds."""
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        beyond = math.exp(-mid / 2) * sum((mid / 2) ** k / math.factorial(k) for k in range(DIMS // 2))
+        low, high = (mid, high) if beyond > tail else (low, mid)
+    return low
+
+
 def estimate(sums: pd.DataFrame, central: float, factor: float, floors: tuple[float, ...]) -> pd.DataFrame:
-    """Mean and inverse covariance of a group from sums by bin of distance."""
+    """Mean, inverse covariance and logarithm of the determinant of a group and start from sums by bin of distance."""
     sums = sums.sort_values("bin")
     n = sums["n"].to_numpy(float)
     goal = central * n.sum()
@@ -146,35 +160,64 @@ def estimate(sums: pd.DataFrame, central: float, factor: float, floors: tuple[fl
         for j in range(i, DIMS):
             cov[i, j] = cov[j, i] = part @ sums[f"s{i}{j}"].to_numpy(float) / total - mean[i] * mean[j]
     cov = cov * factor + np.diag(np.square(floors))
-    return pd.DataFrame({"g": [sums["g"].iloc[0]], "mean": [mean.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()]})
+    found = {"g": sums["g"].iloc[0], "start": sums["start"].iloc[0], "mean": mean.tolist(), "inverse": np.linalg.inv(cov).ravel().tolist(), "det": float(np.linalg.slogdet(cov)[1])}
+    return pd.DataFrame([found])
+
+
+#: Deterministic starts: spreads by median deviations, by the covariance of all rows, and by that of the signs of the deviations.
+STARTS = 3
+FIT = "g string, start int, mean array<double>, inverse array<double>, det double"
+
+
+def starts(sums: pd.DataFrame, floors: tuple[float, ...]) -> pd.DataFrame:
+    """The starts of a group from its medians, median deviations, sums, and sums of signs of deviations."""
+    r = sums.iloc[0]
+    mid, off, n = np.array(r["mids"], float), np.array(r["off"], float), float(r["n"])
+    spread = np.square(off * 1.4826) + np.square(floors)
+    mean = np.array([r[f"s{i}"] for i in range(DIMS)], float) / n
+    every, signs = np.zeros((DIMS, DIMS)), np.zeros((DIMS, DIMS))
+    for i in range(DIMS):
+        for j in range(i, DIMS):
+            every[i, j] = every[j, i] = r[f"s{i}{j}"] / n - mean[i] * mean[j]
+            signs[i, j] = signs[j, i] = r[f"t{i}{j}"] / n
+    scale = np.sqrt(spread)
+    by_signs = (0.5 * signs + 0.5 * np.eye(DIMS)) * np.outer(scale, scale)
+    found = [(mid, np.diag(spread)), (mean, every + np.diag(np.square(floors))), (mid, by_signs)]
+    rows = [(r["g"], k, m.tolist(), np.linalg.inv(c).ravel().tolist(), float(np.linalg.slogdet(c)[1])) for k, (m, c) in enumerate(found)]
+    return pd.DataFrame(rows, columns=["g", "start", "mean", "inverse", "det"])
 
 
 def fit(vectors: DataFrame, rules: Rules) -> DataFrame:
-    """(g, mean, inverse) for each group of (g, x); each concentration step is one aggregation over all rows.
+    """(g, mean, inverse) for each group of (g, x): of all starts the estimate with the smallest determinant.
 
-    It starts at the medians with the median deviations as spread. What is joined back is a row a group; Spark broadcasts
-    it if its measured size allows and splits hot groups of a sort-merge join otherwise. Sums by group and bin are partly added before
-    the shuffle, so a group may have any number of rows.
+    Each concentration step is one aggregation over all rows for all groups and starts; steps go on until no start's determinant falls any more. What is
+    joined back is a row a group and start; Spark broadcasts it if its measured size allows and splits hot groups of a sort-merge join
+    otherwise. Sums by group and bin are partly added before the shuffle, so a group may have any number of rows.
     """
-    mids = vectors.groupBy("g").agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5) for i in range(DIMS)]).alias("mean"))
-    mids = materialize(mids, "mcd")
-    off = vectors.join(mids, "g").groupBy("g", "mean").agg(F.array(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5) for i in range(DIMS)]).alias("off"))
-    diagonal = [F.lit(1.0) / (F.pow(F.col("off")[i] * 1.4826, 2) + floor**2) for i, floor in enumerate(rules.floors)]
-    now = off.select("g", "mean", F.array(*[diagonal[i] if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)]).alias("inverse"))
+    x = [F.col("x")[i] for i in range(DIMS)]
+    products = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
+    sums = [F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(DIMS)], *[F.sum(x[i] * x[j]).alias(f"s{i}{j}") for i, j in products]]
+    mids = materialize(vectors.groupBy("g").agg(F.array(*[F.percentile_approx(v, 0.5) for v in x]).alias("mids")), "mcd")
+    sign = [F.signum(x[i] - F.col("mids")[i]) for i in range(DIMS)]
+    off = F.array(*[F.percentile_approx(F.abs(x[i] - F.col("mids")[i]), 0.5) for i in range(DIMS)]).alias("off")
+    about = vectors.join(mids, "g").groupBy("g", "mids").agg(off, *sums, *[F.sum(sign[i] * sign[j]).alias(f"t{i}{j}") for i, j in products])
     factor, floors = consistency(rules.central), rules.floors
-    sums = [F.count("*").alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(DIMS)]]
-    sums += [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"s{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]
-    for _ in range(rules.steps):
-        now = materialize(now, "mcd")
+    now = materialize(about.groupBy("g").applyInPandas(lambda pdf: starts(pdf, floors), FIT), "mcd")
+    for step in range(rules.max_steps):
         bin_of = F.least(F.lit(BINS), F.greatest(F.lit(0), (F.log(distance() + 1e-6) * PER_E + 0.5 * BINS).cast("int")))
-        binned = vectors.join(now, "g").select("g", "x", bin_of.alias("bin")).groupBy("g", "bin").agg(*sums)
-        now = binned.groupBy("g").applyInPandas(lambda pdf: estimate(pdf, rules.central, factor, floors), "g string, mean array<double>, inverse array<double>")
-    return materialize(now, "mcd")
+        binned = vectors.join(now, "g").select("g", "start", "x", bin_of.alias("bin")).groupBy("g", "start", "bin").agg(*sums)
+        after = materialize(binned.groupBy("g", "start").applyInPandas(lambda pdf: estimate(pdf, rules.central, factor, floors), FIT), "mcd")
+        falls = after.join(now.select("g", "start", F.col("det").alias("before")), ["g", "start"]).where(F.col("before") - F.col("det") > rules.settled)
+        now = after
+        if step and not falls.limit(1).count():
+            break
+    best = now.groupBy("g").agg(F.min(F.struct("det", "start", "mean", "inverse")).alias("x"))
+    return materialize(best.select("g", "x.mean", "x.inverse"), "mcd")
 
 
 def levels(lang: Column, source: Column) -> list[Column]:
     """Group names of a text, the narrowest first; nulls have names of their own."""
-    shown = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    shown = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit("="), c), F.lit("-"))
     return [F.concat(F.lit("s|"), F.concat_ws("|", shown(lang), shown(source))), F.concat(F.lit("l|"), shown(lang)), F.lit("all")]
 
 
@@ -206,7 +249,7 @@ def verdicts(rows: DataFrame, fits: DataFrame, rules: Rules) -> DataFrame:
         found = F.coalesce(found, F.col(f"__fit{i}")) if found is not None else F.col(f"__fit{i}")
     rows = rows.withColumn("__fit", found).withColumns({"mean": F.col("__fit.mean"), "inverse": F.col("__fit.inverse"), "base_failed": base_failed(rules)})
     rows = rows.withColumn("distance", F.when(~F.col("base_failed"), distance()))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= rules.cutoff))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= quantile(rules.tail)))
     return rows.drop("__fit", "mean", "inverse", "x", *[f"__{k}{i}" for k in ("g", "fit") for i in range(3)])
 
 

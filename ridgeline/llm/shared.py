@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder named by spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, a local session) a folder of this machine takes its place.
+    Only where that setting is missing in a local session, as in tests, a folder of this machine takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ridgeline-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -77,6 +80,23 @@ BLOOM = {
 }
 
 
+def filed(docs: DataFrame) -> DataFrame:
+    """docs if its rows come straight from files, else docs written and read back."""
+    try:
+        docs.metadataColumn("_metadata")
+        return docs
+    except AnalysisException:
+        return materialize(docs, "placed")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(row, file, at): each row of docs as a struct, and where it stands. Rows that come from no file are written first."""
+    docs = filed(docs)
+    place = docs.metadataColumn("_metadata")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at"))
+
+
 def hex_bucket(digest: Column, digits: int = 3) -> Column:
     """The leading hex digits of a digest as a number: 16**digits buckets that follow the digest's order."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")

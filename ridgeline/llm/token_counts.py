@@ -86,8 +86,13 @@ def measure(batches: Iterator[pa.RecordBatch], counters: list, steps: dict) -> I
 
 
 def measured(docs: DataFrame, counters: list, steps: dict | None = None) -> DataFrame:
-    """docs with tokens_x (array by counter) and bytes_x in place of text, x being `text` and each step's name. Null texts are empty."""
+    """docs with tokens_x (array by counter) and bytes_x in place of text, x being `text` and each step's name.
+
+    Null and empty texts have no tokens. Repeated rows and ids each get their row. Given columns with the names of the added ones are replaced. An
+    empty table gives no rows. A text is handed to the tokenizers whole, whatever its length.
+    """
     steps = steps or {}
+    docs = docs.drop(*[f"{k}_{n}" for n in ["text", *steps] for k in ("tokens", "bytes")])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
     fields += [f"tokens_{n} array<bigint>, bytes_{n} bigint" for n in ["text", *steps]]
     return docs.mapInArrow(lambda it: measure(it, counters, steps), ", ".join(fields))
@@ -117,39 +122,63 @@ def signed_deltas(changes: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that all executors share: one folder of deltas for each committed batch."""
+    """Totals by key in a folder that all executors share, kept up to date by every committed batch.
+
+    A state is one folder with the totals and the names of the batches that they hold; a commit adds its deltas to the newest state and writes the
+    next. A state counts from the moment at which Spark's committer marks its folder as complete. A job that dies before leaves a folder that the
+    next attempt replaces, so any batch may be sent again at any time. One writer at a time; readers may read the state before the newest.
+    """
+
+    SCHEMA = ", ".join(["batch string", *[f"{k} string" for k in KEYS], *[f"{c} bigint" for c in SUMS]])
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _folder(self, name: str = ""):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def states(self) -> list[int]:
+        """Numbers of the complete states, in order."""
+        top, files = self._folder()
+        names = [x.getPath().getName() for x in files.listStatus(top)] if files.exists(top) else []
+        found = sorted(int(n.removeprefix("state=")) for n in names if n.startswith("state="))
+        return [k for k in found if files.exists(self._folder(f"state={k}/_SUCCESS")[0])]
+
+    def _state(self) -> DataFrame:
+        """The newest state: a row for each batch that it holds, whose key is null, and a row for each key, whose batch is null."""
+        there = self.states()
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/state={there[-1]}") if there else self.spark.createDataFrame([], self.SCHEMA)
+
     def committed(self, batch: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={batch}/_SUCCESS")
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return bool(self._state().where(F.col("batch") == batch).limit(1).count())
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Adds the batch unless one of that name is there; False if it was.
-
-        The files count from the moment at which Spark's committer marks the folder as complete. A job that dies before leaves a folder that
-        the next attempt replaces, so any batch may be sent again at any time. One writer at a time.
-        """
+        """Adds the deltas (see `signed_deltas`) unless a batch of that name is in the totals; False if one is."""
         if self.committed(batch):
             return False
-        deltas.select(*KEYS, *SUMS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        there, now = self.states(), self._state()
+        rows = now.where("batch is null").select(*KEYS, *SUMS).unionByName(deltas.select(*KEYS, *SUMS))
+        totals = rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where(" or ".join(f"{c} <> 0" for c in SUMS))
+        names = now.where("batch is not null").select("batch").unionByName(self.spark.range(1).select(F.lit(batch).alias("batch")))
+        out = totals.withColumn("batch", F.lit(None).cast("string")).unionByName(names, allowMissingColumns=True)
+        columns = [F.col(x.split()[0]) for x in self.SCHEMA.split(", ")]
+        out.select(*columns).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state={there[-1] + 1 if there else 0}")
+        for old in there[:-1]:
+            where, files = self._folder(f"state={old}")
+            files.delete(where, True)
         return True
 
-    def totals(self, batches: Sequence[str]) -> DataFrame:
-        """Sums over those of `batches` that are committed; keys without a document left are not shown."""
-        there = [f"{self.path}/batch={b}" for b in batches if self.committed(b)]
-        schema = ", ".join([f"{k} string" for k in KEYS] + [f"{c} bigint" for c in SUMS])
-        rows = self.spark.read.schema(schema).parquet(*there) if there else self.spark.createDataFrame([], schema)
-        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
+    def totals(self) -> DataFrame:
+        """The totals of all committed batches; keys without a document left are not shown."""
+        return self._state().where("batch is null").select(*KEYS, *SUMS)
 
 
 def op5_token_counts(spark, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
     """Totals after three batches over all documents, the first sent twice.
 
     load inserts every text; revise replaces every text that has a line twice by the text without the repeats; dedup deletes
-    every text, as revised, that equals one with a smaller doc_id as it was loaded.
+    every text, as revised, that equals one with a smaller doc_id as it was loaded. Rows that share the smallest id all stay; null ids do too.
     """
     counters = tokenizers(folder)
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.xxhash64("text").alias("h1"), F.md5(F.coalesce("text", F.lit(""))).alias("h2"))
@@ -165,4 +194,4 @@ def op5_token_counts(spark, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
     rollup.commit("revise", signed_deltas(rows.where("bytes_text <> bytes_unique").select("source", "lang", loaded.alias("before"), revised.alias("after")), names))
     rollup.commit("load", load)
     rollup.commit("dedup", signed_deltas(copies.select("source", "lang", revised.alias("before"), none.alias("after")), names))
-    return rollup.totals(["load", "revise", "dedup"])
+    return rollup.totals()

@@ -1,13 +1,16 @@
 """Jaccard join, line dedup and substring dedup against brute force on small tables."""
 
 import random
+import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.llm import line_dedup, ngram_join, substring_dedup
-from ridgeline.llm.shared import components
+from ridgeline.llm.shared import components, materialize, placed
 from tests.llm.helpers import edited, plain_components, prose, roots
 
 def corpus(seed, n=150):
@@ -95,34 +98,32 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def plain_decisions(spark, docs, rules):
-    """Lines kept, from the engine's SimHashes and links by definition."""
-    frame = spark.createDataFrame(docs, "id bigint, text string")
-    lines = [(r.id, r.line_no, r.h1, tuple(r.words)) for r in line_dedup.lines_of(frame).collect()]
-    sim = {r.h1: r.simhash for r in line_dedup.simhashes(line_dedup.lines_of(frame)).collect()}
-    text = {h: w for _, _, h, w in lines}
-
-    def similar(a, b):
-        longest = max(len(text[a]), len(text[b]))
-        return 100 * (longest - levenshtein(text[a], text[b])) >= rules.percent * longest
-
-    heads = {}
-    for h in sorted(sim):
-        heads.setdefault(sim[h], h)
-    links = [(heads[s], h) for h, s in sim.items() if heads[s] != h and similar(heads[s], h)]
-    links += [(heads[s], heads[t]) for s, t in combinations(heads, 2) if bin((s ^ t) & (2**64 - 1)).count("1") <= rules.bits and similar(heads[s], heads[t])]
-    group, seen, out = roots(list(sim), links), set(), {}
-    for i, k, h, _ in sorted(lines):
-        out[i, k] = group[h] not in seen
-        seen.add(group[h])
+def plain_lines(docs):
+    """(row, line_no) -> words of every line with a word, without the engine."""
+    out = {}
+    for row, (_, text) in enumerate(docs):
+        for k, line in enumerate((text or "").split("\n")):
+            words = tuple(w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", line.lower()) if w)
+            if words:
+                out[row, k] = words
     return out
 
 
-def line_corpus(seed):
+def plain_pairs(lines, percent):
+    """All pairs of different lines whose edit distance leaves `percent` of the longer one."""
+    distinct = sorted(set(lines.values()))
+    for a, b in combinations(distinct, 2):
+        longest = max(len(a), len(b))
+        if 100 * min(len(a), len(b)) >= percent * longest and 100 * sum((Counter(a) & Counter(b)).values()) >= percent * longest:
+            if 100 * (longest - levenshtein(a, b)) >= percent * longest:
+                yield a, b
+
+
+def line_corpus(seed, n=40):
     rng = random.Random(seed)
-    pool = [prose(rng, rng.randrange(3, 40)) for _ in range(25)]
+    pool = [prose(rng, rng.randrange(8, 60)) for _ in range(25)]
     docs = []
-    for i in range(40):
+    for i in range(n):
         lines = []
         for _ in range(rng.randrange(0, 7)):
             line = rng.choice(pool) if rng.random() < 0.6 else prose(rng, rng.randrange(1, 30))
@@ -134,30 +135,71 @@ def line_corpus(seed):
 
 
 def test_simhash_of_a_line(spark):
-    frame = spark.createDataFrame([(1, "one two two three"), (2, "One; two TWO three")], "id bigint, text string")
-    rows = line_dedup.simhashes(line_dedup.lines_of(frame)).collect()
+    frame = spark.createDataFrame([(1, "one two two three"), (2, "One; two TWO three"), (3, " ".join(["many", "words"] * 9000))], "doc_id bigint, text string")
+    rows = placed(frame).select("row.doc_id", "row.text", "file", "at").withColumnRenamed("doc_id", "id")
+    rows = {r.id: r for r in line_dedup.lines_of(rows).collect()}
     words = {r.w: r.h for r in spark.sql("select w, xxhash64(w) h from values ('one'), ('two'), ('three') t(w)").collect()}
-    total = [sum(((words[w] >> i) & 1) * 2 - 1 for w in ("one", "two", "two", "three")) for i in range(64)]
-    want = sum(1 << i for i in range(64) if total[i] > 0)
-    assert len(rows) == 1 and rows[0].simhash % 2**64 == want and rows[0].first_id == 1
-
-
-@pytest.mark.parametrize("rules", [line_dedup.LineRules(), line_dedup.LineRules(bits=8, blocks=10, percent=70)])
-def test_line_decisions(spark, rules):
-    docs = line_corpus(rules.bits)
-    got = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_decisions(spark.createDataFrame(docs, "doc_id bigint, text string"), rules=rules).collect()}
-    assert got == plain_decisions(spark, docs, rules)
+    bits = [sum(((words[w] >> i) & 1) * 2 - 1 for w in ("one", "two", "two", "three")) for i in range(64)]
+    kinds = [sum(((words[w] >> i) & 1) * 2 - 1 for w in words) for i in range(64)]
+    assert rows[1].s % 2**64 == sum(1 << i for i in range(64) if bits[i] > 0) and rows[1].n == 4 and rows[3].n == 18000
+    assert rows[1].d % 2**64 == sum(1 << (16 * j + i) for j in range(4) for i in range(8) if kinds[16 * j + 2 * i] > 0)
+    assert (rows[1].h1, rows[1].s, rows[1].d) == (rows[2].h1, rows[2].s, rows[2].d)
+
+
+@pytest.mark.parametrize("seed", [3, 12])
+def test_lines_against_edit_similarity(spark, seed):
+    """Groups hold links only, all copies but the first go, and nine of ten similar pairs are connected."""
+    docs = line_corpus(seed, 120)
+    docs += docs[:5]
+    lines = plain_lines(docs)
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id bigint, text string, row int").repartition(3)
+    frame = materialize(frame, "lines")
+    rows = {(r.file, r.at): r["row"] for r in placed(frame).select("file", "at", "row.row").collect()}
+    got = {(rows[r.file, r.at], r.line_no): r.kept for r in line_dedup.line_decisions(frame).collect()}
+    assert set(got) == set(lines)
+    pairs = list(plain_pairs(lines, 80))
+    whole = roots(set(lines.values()), pairs)
+    kept = [p for p, k in got.items() if k]
+    # a dropped line has a similar one that stays before it; of equal lines one stays at most
+    first = {}
+    for p in sorted(lines, key=lambda p: (docs[p[0]][0], p)):
+        first.setdefault(whole[lines[p]], p)
+    assert all(got[p] for p in first.values() if docs[p[0]] not in docs[-5:])
+    assert len({lines[p] for p in kept}) == len(kept)
+    # what is connected: every text that went is similar, over links, to one that stays
+    gone = {w for p, w in lines.items() if not got[p]} - {lines[p] for p in kept}
+    assert gone and {whole[w] for w in gone} <= {whole[lines[p]] for p in kept}
+    spark_rows = placed(frame).select(F.col("row.doc_id").alias("id"), "file", "at", "row.text")
+    known = line_dedup.lines_of(spark_rows)
+    text = {r.h1: lines[rows[r.file, r.at], r.line_no] for r in known.collect()}
+    known = known.groupBy("h1").agg(F.min(F.struct("id", "file", "at", "line_no")).alias("first"), *[F.first(c).alias(c) for c in "nsd"])
+    found = components(line_dedup.line_links(spark_rows, known, line_dedup.LineRules())).collect()
+    group = {text[r.id]: r.component for r in found}
+    assert all(whole[text[r.id]] == whole[text[r.component]] for r in found)
+    met = sum(a in group and group[a] == group.get(b) for a, b in pairs)
+    assert met >= 0.9 * len(pairs)
 
 
 def test_lines_of_odd_rows(spark):
-    docs = [(1, None), (2, ""), (3, "...\n\n"), (4, "a b\nA, B!\nc"), (4, "c"), (None, "a b"), (5, "a b\nnew\n---")]
-    frame = spark.createDataFrame([(*d, 3) for d in docs], "doc_id bigint, text string, line_no int")
-    got = sorted((r.doc_id, r.line_no, r.kept) for r in line_dedup.line_decisions(frame).collect())
-    assert got == [(4, 0, False), (4, 0, True), (4, 1, False), (4, 2, False), (5, 0, False), (5, 1, True)] or got == [(4, 0, True), (4, 0, True), (4, 1, False), (4, 2, False), (5, 0, False), (5, 1, True)]
+    docs = [(1, None), (2, ""), (3, "...\n\n"), (4, "a b\nA, B!\nc"), (4, "c"), (None, "a b"), (5, "a b\nnew\n---"), (7, "x y\nz w"), (7, "q r\nx y"), (8, "m n"), (8, "m n")]
+    frame = spark.createDataFrame([(*d, 3, "k") for d in docs], "doc_id bigint, text string, line_no int, `file.at` string")
+    got = Counter((r.doc_id, r.line_no, r.kept) for r in line_dedup.line_decisions(frame).collect())
+    mine = {k: n for k, n in got.items() if k[0] in (5, 8, None)}
+    assert mine == {(5, 0, False): 1, (5, 1, True): 1, (None, 0, False): 1, (8, 0, True): 1, (8, 0, False): 1}
+    assert sum(n for k, n in got.items() if k[0] == 4 and k[2]) == 2 and sum(n for k, n in got.items() if k[0] == 7 and k[2]) == 3
     assert line_dedup.line_decisions(frame.limit(0)).count() == 0
-    one = spark.createDataFrame([(1, "x y\nz\n\nx y", 3), (2, "z\nq", 4)], "doc_id bigint, text string, dropped int")
-    out = line_dedup.without_lines(one, line_dedup.dropped_lines(line_dedup.line_decisions(one)))
-    assert {tuple(r) for r in out.collect()} == {(1, "x y\nz\n", 3), (2, "q", 4)} and out.columns == one.columns
+    out = line_dedup.without_repeated_lines(frame)
+    assert out.columns == frame.columns and out.count() == len(docs)
+    left = Counter(line for r in out.collect() for line in (r.text or "").split("\n") if line.strip(".-"))
+    assert set(left.values()) == {1} and {x.lower().replace(",", "").replace("!", "") for x in left} == {"a b", "c", "new", "x y", "z w", "q r", "m n"}
+
+
+def test_a_very_long_line(spark):
+    rng = random.Random(8)
+    long = prose(rng, 40_000)
+    docs = [(1, long), (2, long + " more"), (3, "some words\n" + prose(rng, 20_000))]
+    got = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_decisions(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {(1, 0): True, (2, 0): False, (3, 0): True, (3, 1): True}
 
 
 def test_compact_windows_are_those_of_the_definition():

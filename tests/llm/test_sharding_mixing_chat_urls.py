@@ -115,6 +115,17 @@ def test_mix(spark, seed):
     assert again == {r.doc_id: r.taken for r in rows}
 
 
+def test_every_shard_draws_its_quota_of_blocks(spark):
+    """Documents of one block each: those taken for a shard are as many as its quota."""
+    docs = [(i, "abc"[i % 7 % 3], mixing.BLOCK) for i in range(700)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id bigint, source string, size int")).collect()
+    for s in "abc":
+        mine = [r for r in rows if r.source == s]
+        assert all(len(r.shards) == r.copies and r.taken == r.copies * mixing.BLOCK for r in mine)
+        drawn = Counter(x for r in mine for x in r.shards)
+        assert [drawn[k] for k in range(mixing.SHARDS)] == list(mine[0].shard_blocks)
+
+
 def test_mix_of_odd_rows(spark):
     frame = spark.createDataFrame([(None, None, None, 1), (1, "a", 0, 1)], "doc_id bigint, source string, size bigint, target int")
     assert [(r.taken, r.copies) for r in mixing.mix(frame).collect()] == [(0, 0), (0, 0)]

@@ -127,15 +127,38 @@ def test_text_counts(spark):
 
 
 def plain_mcd(x, rules):
-    mean = np.median(x, axis=0)
-    inverse = np.diag(1 / ((np.median(abs(x - mean), axis=0) * 1.4826) ** 2 + np.square(rules.floors)))
-    for _ in range(rules.steps):
-        d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-        part = x[np.argsort(d, kind="stable")[: round(rules.central * len(x))]]
-        mean = part.mean(axis=0)
-        cov = np.cov(part.T, bias=True) * quality.consistency(rules.central) + np.diag(np.square(rules.floors))
-        inverse = np.linalg.inv(cov)
-    return np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+    """Squared distances by the smallest determinant that steps over exact subsets reach from many starts."""
+    floors, best = np.diag(np.square(rules.floors)), None
+    rng = np.random.default_rng(0)
+    n = round(rules.central * len(x))
+    for k in range(12):
+        part = x if k == 0 else x[rng.choice(len(x), 6 + 4 * k, replace=False)]
+        if k == 1:
+            part = x[np.argsort((((x - np.median(x, axis=0)) / (np.median(abs(x - np.median(x, axis=0)), axis=0) + 0.05)) ** 2).sum(axis=1))[:n]]
+        for _ in range(40):
+            mean = part.mean(axis=0)
+            cov = np.cov(part.T, bias=True) * quality.consistency(rules.central) + floors
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            part = x[np.argsort(d, kind="stable")[:n]]
+        det = np.linalg.slogdet(np.cov(part.T, bias=True) * quality.consistency(rules.central) + floors)[1]
+        if best is None or det < best[0]:
+            best = det, d
+    return best[1]
+
+
+def test_the_start_with_the_smallest_determinant_counts(spark):
+    """A third of the rows form a wide cloud that draws the start by the covariance of all rows; its steps end higher."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.3, (400, 4)), rng.normal(4, 3, (200, 4))])
+    vectors = spark.createDataFrame([("g", v.tolist()) for v in x], "g string, x array<double>")
+    rules = quality.Rules(central=0.6)
+    row = quality.fit(vectors, rules).first()
+    mean, inverse = np.array(row["mean"]), np.array(row["inverse"]).reshape(4, 4)
+    got = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+    want = plain_mcd(x, rules)
+    assert np.corrcoef(got, want)[0, 1] > 0.99 and abs(mean).max() < 0.2
+    assert abs(-np.linalg.slogdet(inverse)[1] - -np.linalg.slogdet(np.linalg.inv(np.cov(x[np.argsort(want)[:360]].T, bias=True) * quality.consistency(0.6) + np.diag(np.square(rules.floors))))[1]) < 0.15
+    assert quality.quantile(0.001) == pytest.approx(18.467, abs=0.01)
 
 
 def test_judge_against_a_plain_estimate(spark):
@@ -158,7 +181,7 @@ def test_judge_against_a_plain_estimate(spark):
     want = plain_mcd(x, quality.RULES)
     got = np.array([out[d[0]].distance for d, _ in rows])
     assert np.corrcoef(np.log1p(want), np.log1p(got))[0, 1] > 0.99
-    assert ((want > quality.RULES.cutoff) == (got > quality.RULES.cutoff)).all()
+    assert ((want > quality.quantile(quality.RULES.tail)) == (got > quality.quantile(quality.RULES.tail))).all()
     kept = quality.kept_rows(frame)
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {i for i, r in out.items() if r.kept}
 
@@ -195,15 +218,17 @@ def test_commits_are_idempotent_and_signed(spark, tmp_path):
     load = token_counts.signed_deltas(spark.createDataFrame([("a", None, None, ([3], 9)), ("a", None, None, ([4], 9)), ("b", "x", None, ([1], 1))], schema), ["t"])
     revise = token_counts.signed_deltas(spark.createDataFrame([("a", None, ([4], 9), ([2], 5)), ("b", "x", ([1], 1), None)], schema), ["t"])
     assert store.commit("1", load) and store.commit("2", revise) and not store.commit("1", load)
-    assert [tuple(r) for r in store.totals(["1", "2", "3"]).collect()] == [("a", None, "t", 2, 5, 14)]
-    assert store.totals([]).count() == 0
+    assert [tuple(r) for r in store.totals().collect()] == [("a", None, "t", 2, 5, 14)]
+    assert token_counts.Rollup(spark, str(tmp_path / "none")).totals().count() == 0
     assert token_counts.signed_deltas(spark.createDataFrame([], schema), ["t"]).count() == 0
-    os.remove(tmp_path / "rollup" / "batch=2" / "_SUCCESS")  # as if the job had died before it was done
-    assert not store.committed("2") and store.commit("2", revise)
+    os.remove(tmp_path / "rollup" / "state=1" / "_SUCCESS")  # as if the job had died before it was done
+    assert not store.committed("2") and store.commit("2", revise) and store.commit("3", load)
+    assert sorted(map(str, store.totals().collect())) == sorted(map(str, token_counts.Rollup(spark, store.path).totals().collect()))
+    assert store.states() == [1, 2] and not store.commit("3", load)
 
 
 def test_clashing_columns_do_not_disturb_measuring(spark):
-    frame = spark.createDataFrame([(1, "a b", 7)], "doc_id bigint, text string, tokens int")
+    frame = spark.createDataFrame([(1, "a b", 7, "x")], "doc_id bigint, text string, tokens int, tokens_text string")
     out = token_counts.measured(frame, [token_counts.Words()])
     assert out.columns == ["doc_id", "tokens", "tokens_text", "bytes_text"] and out.first().tokens_text == [2]
     assert frame.select(F.col("tokens")).first()[0] == 7
