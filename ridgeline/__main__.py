@@ -18,7 +18,7 @@ from ridgeline.plans.run import load_reads, run
 from ridgeline.session import get_session
 from ridgeline.sources import sinks
 from ridgeline.sources.bam import bam_contigs
-from ridgeline.sources.fasta import fasta_index, read_fasta
+from ridgeline.sources.fasta import fasta_index, fasta_order, read_fasta
 from ridgeline.sources.tables import read_bed, read_fai, read_merged_support, read_support
 
 
@@ -100,10 +100,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         ))
     elif a.command == "se":
         cfg = StructuralErrorConfig(a.window_size, a.min_indel_length, a.terminal_region_size, spanning_window=a.spanning_window_size, spanning_step=a.spanning_step_size)
-        contigs = fasta_index(read_fasta(spark, a.reference)).withColumn("ord", F.lit(0).cast("long"))
+        contigs = fasta_index(read_fasta(spark, a.reference)).join(fasta_order(spark, a.reference), "contig")
         found = structural_errors.structural_errors(load_reads(spark, a.reads, "ont"), contigs, cfg=cfg)
         sinks.write_tsv(sinks.window_stats_rows(found.stats), f"{a.output_dir}/se.window_stats.tsv")
         sinks.write_tsv(sinks.anomaly_rows(found.anomalies), f"{a.output_dir}/se.anomalous_regions.tsv")
+        sinks.write_bed(intervals.in_contig_order(found.anomalies, contigs), f"{a.output_dir}/se.anomalous_regions.bed")
         sinks.write_tsv(sinks.summary_rows(found.summary), f"{a.output_dir}/se.anomaly_summary.tsv")
         sinks.write_bed(found.merged.orderBy("contig", "start0"), f"{a.output_dir}/se.result.bed")
     elif a.command == "spanning":
@@ -141,7 +142,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         if a.output:
             sinks.write_tsv(rows, a.output, header=False)
         else:
-            rows.show(1000, truncate=False)
+            for row in rows.toLocalIterator():  # a partition at a time
+                print(*row, sep=a.separator)
 
 
 if __name__ == "__main__":

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,11 +112,17 @@ def pileup_window_support(pileup: DataFrame, cap: float = DEPTH_CAP) -> DataFram
 
 
 def mismatch_positions(seq: str, ops: Iterable[tuple[str, int]], start0: int, ref: str, ref0: int) -> list[int]:
-    """Reference positions at which an alignment's bases differ from `ref`, which begins at ref0."""
+    """Reference positions in `ref`, which begins at ref0, at which an alignment's bases differ from it; bases that a read lacks differ."""
+    bases, known = (np.frombuffer(x.upper().encode(), np.uint8) for x in (seq, ref))
     at, pos, out = 0, start0, []
     for op, n in ops:
         if op in "M=X":
-            out += [pos + k for k in range(n) if seq[at + k : at + k + 1].upper() != ref[pos - ref0 + k : pos - ref0 + k + 1].upper()]
+            low, high = max(pos, ref0), min(pos + n, ref0 + len(known))
+            if low < high:
+                mine = bases[at + low - pos : at + high - pos]
+                differ = np.ones(high - low, bool)
+                differ[: len(mine)] = mine != known[low - ref0 : low - ref0 + len(mine)]
+                out += (np.flatnonzero(differ) + low).tolist()
         at += n if op in "MIS=X" else 0
         pos += n if op in "MDN=X" else 0
     return out
@@ -124,25 +131,28 @@ def mismatch_positions(seq: str, ops: Iterable[tuple[str, int]], start0: int, re
 def with_mismatches(reads: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
     """reads with their mismatch positions, from their bases and the reference chunks (contig, chunk_start0, seq) that they touch.
 
-    A read is cut by chunk, compared in Arrow batches and put together again; reads with NM = 0 skip the comparison.
+    A record is cut by chunk, compared with its own slice of each in Arrow batches and put together again; records with NM = 0 skip the
+    comparison. Records are told apart by all that the comparison takes, so those that are equal in it share a result.
     """
-    spans = reads.where("nm is null or nm > 0").withColumn("chunk_start0", F.explode(F.sequence(F.floor(F.col("start0") / chunk) * chunk, F.greatest(F.col("start0"), F.col("end0") - 1), F.lit(chunk).cast("long"))))
-    ops = F.transform(F.arrays_zip(F.regexp_extract_all("cigar", F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(2)), F.regexp_extract_all("cigar", F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(1))), lambda x: F.concat(x["1"], x["0"]))
-    work = spans.join(chunks.select("contig", "chunk_start0", F.substring("seq", 1, chunk).alias("ref")), ["contig", "chunk_start0"]).select("read_id", "flag", "start0", "seq", ops.alias("ops"), "chunk_start0", "ref")
+    record = F.xxhash64("read_id", "flag", "contig", "start0", "end0", "cigar", "seq")
+    first, last = F.col("start0"), F.greatest(F.col("start0"), F.col("end0") - 1)
+    pieces = F.sequence(F.floor(first / chunk) * chunk, last, F.lit(chunk).cast("long"))
+    spans = reads.where("nm is null or nm > 0").select(record.alias("record"), "contig", "start0", "end0", "cigar", "seq", F.explode(pieces).alias("chunk_start0"))
+    form = F.lit("([0-9]+)([MIDNSHP=X])")
+    ops = F.transform(F.arrays_zip(F.regexp_extract_all("cigar", form, F.lit(2)), F.regexp_extract_all("cigar", form, F.lit(1))), lambda x: F.concat(x["1"], x["0"]))
+    known = chunks.select("contig", "chunk_start0", F.substring("seq", 1, chunk).alias("whole"))
+    from0 = F.greatest(F.col("start0"), F.col("chunk_start0"))
+    to0 = F.least(F.col("end0"), F.col("chunk_start0") + chunk)
+    own = F.substring(F.col("whole"), (from0 - F.col("chunk_start0") + 1).cast("int"), F.greatest(to0 - from0, F.lit(0)).cast("int"))
+    work = spans.join(known, ["contig", "chunk_start0"]).select("record", "chunk_start0", "start0", "seq", ops.alias("ops"), from0.alias("from0"), own.alias("ref"))
 
     def compare(batches):
         for pdf in batches:
-            out = []
-            for seq, cigar, start, at, ref in pdf[["seq", "ops", "start0", "chunk_start0", "ref"]].itertuples(index=False, name=None):
-                found = mismatch_positions(seq or "", [(x[-1], int(x[:-1])) for x in cigar], start, _padded(ref, start, at), min(start, at))
-                out.append([p for p in found if at <= p < at + len(ref)])
-            yield pdf[["read_id", "flag", "start0"]].assign(mm=out)
-
-    found = work.mapInPandas(compare, "read_id string, flag int, start0 bigint, mm array<bigint>")
-    found = found.groupBy("read_id", "flag", "start0").agg(F.array_sort(F.flatten(F.collect_list("mm"))).alias("mismatches"))
-    return reads.join(found, ["read_id", "flag", "start0"], "left").withColumn("mismatches", F.coalesce("mismatches", F.array().cast("array<bigint>")))
-
-
-def _padded(ref: str, start: int, at: int) -> str:
-    """The chunk's bases with room before them for a read that begins earlier."""
-    return " " * max(0, at - start) + ref
+            rows = pdf[["seq", "ops", "start0", "from0", "ref"]].itertuples(index=False, name=None)
+            found = [mismatch_positions(seq or "", [(x[-1], int(x[:-1])) for x in cigar], start, ref, at) for seq, cigar, start, at, ref in rows]
+            yield pdf[["record", "chunk_start0"]].assign(mm=found)
+
+    found = work.mapInPandas(compare, "record bigint, chunk_start0 bigint, mm array<bigint>")
+    found = found.groupBy("record").agg(F.array_sort(F.flatten(F.transform(F.collect_set(F.struct("chunk_start0", "mm")), lambda x: x["mm"]))).alias("mismatches"))
+    out = reads.withColumn("record", record).join(found, "record", "left").drop("record")
+    return out.withColumn("mismatches", F.coalesce("mismatches", F.array().cast("array<bigint>")))

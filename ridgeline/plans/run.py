@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from ridgeline.operators.support import with_mismatches
 from ridgeline.plans import base_errors, structural_errors
 from ridgeline.sources import sinks
 from ridgeline.sources.bam import read_bam
-from ridgeline.sources.fasta import fasta_index, read_fasta
+from ridgeline.sources.fasta import fasta_index, fasta_order, read_fasta
 from ridgeline.sources.tables import read_bed, read_fai
 
 
@@ -52,7 +51,7 @@ def run(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
 
     k = cfg.repeats.k
     chunks = kept("reference", read_fasta(spark, cfg.reference, CHUNK, k - 1))
-    index = read_fai(spark, cfg.reference_index) if cfg.reference_index else fasta_index(chunks).withColumn("ord", F.monotonically_increasing_id())
+    index = read_fai(spark, cfg.reference_index) if cfg.reference_index else fasta_index(chunks).join(fasta_order(spark, cfg.reference), "contig")
     contigs = kept("contigs", index.select("contig", "len", "ord").coalesce(1))
     mask = kept("mask", merge_intervals(read_bed(spark, list(cfg.masks)))) if cfg.masks else None
     reads = {}
@@ -91,6 +90,7 @@ def run(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
         sinks.write_bed(found.nonspanning.orderBy("contig", "start0"), f"{out}/se/non_spanning.bed")
         se = kept("anomalies", structural_errors.overlap_anti(anomalies, mask) if mask is not None else anomalies)
         sinks.write_tsv(sinks.anomaly_rows(se), f"{out}/se/anomalous_regions.tsv")
+        sinks.write_bed(in_contig_order(se, contigs), f"{out}/se/anomalous_regions.bed")
         sinks.write_by_contig(sinks.anomaly_rows(se).withColumn("contig", F.col("Chromosome")), f"{out}/se/by_contig")
         results |= {"window_stats": stats, "structural_errors": se}
     results["contig_qv"] = kept("contig_qv", contig_qv(contigs, be, se))
@@ -100,7 +100,6 @@ def run(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
         "summary.txt": sinks.genome_report(results["genome_qv"], stage_counts(**{n: r for n, r in results.items() if not n.endswith("qv")})),
         "config.json": sinks.config_json(cfg),
     }
-    if "://" not in out:
-        for name, text in texts.items():
-            Path(out, name).write_text(text)
+    for name, text in texts.items():
+        sinks.write_text(spark, f"{out}/{name}", text)
     return results

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.config import PipelineConfig
@@ -73,6 +73,17 @@ def write_tsv(rows: DataFrame, path: str, header: bool = True) -> None:
     rows.write.mode("overwrite").csv(path, sep="\t", header=header)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, in whatever file system the path names."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def contig_report(qv: DataFrame, contigs: DataFrame) -> str:
     """The contig summary as text, contigs in the reference's order."""
     rows = qv.join(contigs.select("contig", "ord"), "contig").orderBy("ord").collect()  # a row a contig

@@ -303,3 +303,36 @@ def test_bad_configurations(small_run):
 def test_row_formats(spark):
     table = spark.createDataFrame([("a", 0, 50, 3, 4.5, -1, -1.0, 0.03125, 0.5, 1.0)], tables.MERGED)
     assert tuple(sinks.merged_support_rows(table).first()) == ("a", 0, 50, 3, "4.50", -1, "-1", "0.0312", "0.5000", "1.0000")
+
+
+def test_mismatches_of_records_that_share_read_flag_and_start(spark):
+    """Two supplementary records of a read at one start, on two contigs, and the same record twice."""
+    rows = [("r", "ont", 2048, c, 0, 10, 60, "10M", "A" * 10, 10, 1, None) for c in ("a", "b", "a")]
+    ref = {"a": "AAACAAAAAA", "b": "AAAAAAAACA"}
+    chunks = spark.createDataFrame([(c, k, s[k : k + 4]) for c, s in ref.items() for k in (0, 4, 8)], "contig string, chunk_start0 bigint, seq string")
+    got = sorted((r.contig, r.mismatches) for r in support.with_mismatches(spark.createDataFrame(rows, bam.READS), chunks, 4).collect())
+    assert got == [("a", [3]), ("a", [3]), ("b", [8])]
+
+
+def test_mismatches_within_a_slice():
+    ops, ref = [("S", 2), ("M", 3), ("I", 1), ("M", 3), ("D", 2), ("M", 4)], "ACGTACGTACGTACGT"
+    whole = support.mismatch_positions("ttACcxTACAACG", ops, 0, ref, 0)
+    parts = [support.mismatch_positions("ttACcxTACAACG", ops, 0, ref[k : k + 5], k) for k in range(0, 15, 5)]
+    assert sum(parts, []) == whole and whole
+
+
+def test_contigs_in_the_order_of_the_file(spark, tmp_path, monkeypatch):
+    names = ["z", "m", "a", "q", "b", "k"]
+    (tmp_path / "g.fa").write_text("".join(f">{n} x\n" + "ACGT\n" * (i + 1) for i, n in enumerate(names)))
+    monkeypatch.setattr(fasta, "BUCKET", 8)
+    order = fasta.fasta_order(spark, str(tmp_path / "g.fa"))
+    assert [r.contig for r in order.orderBy("ord").collect()] == names
+    read = fasta.read_fasta(spark, str(tmp_path / "g.fa"), 8)
+    assert {r.contig: r.len for r in fasta.fasta_index(read, 8).collect()} == {n: 4 * (i + 1) for i, n in enumerate(names)}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_reports_go_to_any_file_system(spark, tmp_path):
+    sinks.write_text(spark, f"file://{tmp_path}/new/report.txt", "Länge\n")
+    assert (tmp_path / "new" / "report.txt").read_text() == "Länge\n"
