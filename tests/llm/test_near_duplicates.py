@@ -135,14 +135,17 @@ def line_corpus(seed, n=40):
 
 
 def test_simhash_of_a_line(spark):
-    frame = spark.createDataFrame([(1, "one two two three"), (2, "One; two TWO three"), (3, " ".join(["many", "words"] * 9000))], "doc_id bigint, text string")
+    frame = spark.createDataFrame([(1, "one two two three"), (2, "One; two TWO three"), (3, " ".join(["many", "words"] * 9000)), (4, "one one two " * 100)], "doc_id bigint, text string")
     rows = placed(frame).select("row.doc_id", "row.text", "file", "at").withColumnRenamed("doc_id", "id")
     rows = {r.id: r for r in line_dedup.lines_of(rows).collect()}
     words = {r.w: r.h for r in spark.sql("select w, xxhash64(w) h from values ('one'), ('two'), ('three') t(w)").collect()}
     bits = [sum(((words[w] >> i) & 1) * 2 - 1 for w in ("one", "two", "two", "three")) for i in range(64)]
-    kinds = [sum(((words[w] >> i) & 1) * 2 - 1 for w in words) for i in range(64)]
     assert rows[1].s % 2**64 == sum(1 << i for i in range(64) if bits[i] > 0) and rows[1].n == 4 and rows[3].n == 18000
-    assert rows[1].d % 2**64 == sum(1 << (16 * j + i) for j in range(4) for i in range(8) if kinds[16 * j + 2 * i] > 0)
+    # the sketch: which of 64 numbers an odd count of words has
+    odd = Counter((words[w] % 2**64) >> 58 for w in ("one", "two", "two", "three"))
+    assert rows[1].d % 2**64 == sum(1 << at for at, n in odd.items() if n % 2)
+    # a line of more words than a small counter holds; two thirds of its words are one
+    assert rows[4].n == 300 and rows[4].s == words["one"]
     assert (rows[1].h1, rows[1].s, rows[1].d) == (rows[2].h1, rows[2].s, rows[2].d)
 
 
