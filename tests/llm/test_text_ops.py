@@ -99,13 +99,47 @@ def test_contaminated_with_empty_tables(spark):
     assert decontaminate.contaminated(docs.limit(0), items.unionByName(spark.createDataFrame([(1, "a b c d")], items.schema))).count() == 0
 
 
-def test_many_items_make_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+def plain_score(item, text):
+    """Smith-Waterman over whole lists of words, a row at a time, as a share of an exact copy's points."""
+    before, best = [0] * (len(text) + 1), 0
+    for x in item:
+        now = [0]
+        for j, y in enumerate(text):
+            now.append(max(0, before[j] + (2 if x == y else -1), before[j + 1] - 1, now[j] - 1))
+        best, before = max(best, max(now)), now
+    return best / (2 * len(item))
+
+
+def test_contaminated_matches_all_pairs(spark):
     rng = random.Random(8)
-    items = [(i, prose(rng, 30)) for i in range(9)]
-    docs = [(i, prose(rng, 20) + " " + t) for i, t in items]
-    out = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
-    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(i, i) for i in range(9)}
+    items = [(i, prose(rng, 12 + 6 * i)) for i in range(16)] + [(16, prose(rng, 2)), (17, "ba ba ba ba ba ba")]
+    docs = []
+    for i in range(60):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(0, 2 + len(words) // 5)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randrange(2)] = [rng.choice(["zza", "zzb"])]
+        docs.append((i, f"{prose(rng, 40)} {' '.join(words)} {prose(rng, 40)}" if i % 4 else prose(rng, 100)))
+    docs += [(100, "ba " * 50), (101, items[0][1]), (102, items[16][1])]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): r.score for r in found.collect()}
+    split = [(i, t.lower().split()) for i, t in items]
+    plain = {(d, i): plain_score(w, t.lower().split()) for d, t in docs for i, w in split if len(w) >= 3}
+    assert got == {k: v for k, v in plain.items() if v >= 0.5}
+    assert len(got) > 40
+
+
+def test_contaminated_in_very_long_texts(spark):
+    rng = random.Random(9)
+    items = [(1, prose(rng, 60)), (2, prose(rng, 250))]
+    filler = ["w%d" % rng.randrange(10**6) for _ in range(300_000)]
+    filler[4070:4070] = items[0][1].split()  # across the border of two passages
+    filler[200_000:200_000] = items[1][1].split()
+    docs = [(1, " ".join(filler)), (2, "x" * 2_000_000), (3, "same " * 200_000)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    rows = {(r.doc_id, r.item_id): (r.score, r.first_word, r.end_word) for r in found.collect()}
+    assert rows[1, 1] == (1.0, 4070, 4130)
+    assert set(rows) == {(1, 1), (1, 2)} and rows[1, 2][0] == 1.0 and 200_000 <= rows[1, 2][1] < rows[1, 2][2] <= 200_250
 
 
 def plain_counts(text):
