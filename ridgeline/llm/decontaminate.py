@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.llm.shared import SMALL_BATCHES, materialize, table
+from ridgeline.llm.shared import BLOOM, SMALL_BATCHES, materialize, table
 from ridgeline.llm.words import PLACES, Words, mixed, pieces, shingles_of, words_of
 
 GRAM = 3
@@ -238,9 +238,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", leas
     hits = hits.select("passage", F.col("hit.grams").alias("gram"), F.col("hit.places").alias("place"))
     shift = (F.col("place") - F.col("stands")).alias("shift")
     pairs = hits.join(seeds, "gram").groupBy("passage", "segment").agg(F.sort_array(F.collect_set(shift)).alias("shifts"))
+    pairs = materialize(pairs, "pairs").where(F.size("shifts") > 0)
 
-    # a pair carries only the words that its seeds point to
-    met = pairs.join(segments.select("segment", "item_id", F.col("words").alias("item_words")), "segment").join(passages, "passage")
+    # passages in no pair are dropped where they are read; a pair carries only the words that its seeds point to
+    cuts = passages.select("passage", "id", "row", "first", "words").join(pairs, "passage")
+    met = cuts.join(segments.select("segment", "item_id", F.col("words").alias("item_words")), "segment")
     length = F.octet_length("item_words") / 8
     slack = F.floor(length / 4) + 4
     low = F.greatest(F.col("first"), F.element_at("shifts", 1) - slack).cast("int")
@@ -248,7 +250,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", leas
     met = met.select("id", "row", "item_id", "item_words", low.alias("low"), "words", high.alias("high"), "first", "shifts")
     cut = F.col("words").substr((F.col("low") - F.col("first")) * 8 + 1, (F.col("high") - F.col("low")) * 8).alias("words")
     met = met.select("id", "row", "item_id", "item_words", "low", cut, "shifts")
-    found = materialize(met.mapInArrow(lambda it: align_rows(it, least), FOUND), "alignments", SMALL_BATCHES)
+    found = materialize(met.mapInArrow(lambda it: align_rows(it, least), FOUND), "alignments", SMALL_BATCHES | BLOOM)
     best = F.min(F.struct((-F.col("score")).alias("score"), "first_word", "end_word", "id")).alias("best")
     best = found.groupBy("row", "item_id").agg(best)
     return best.select(F.col("best.id").alias(id_col), "item_id", (-F.col("best.score")).alias("score"), "best.first_word", "best.end_word")
