@@ -17,7 +17,8 @@ from ridgeline.llm.shared import table
 class ChatTemplate:
     """Marks of a turn, the roles that the loss covers, and the states that may follow one another.
 
-    `moves` maps "state>role" to the next state; a missing entry is an error. Every control string must start with `<|`.
+    `moves` maps "state>role" to the next state; a missing entry is an error. `open` and `close` must start with `<|`, which
+    texts never hold once escaped, and `after_role` with a line break, which escaped roles never hold; other templates raise ValueError.
     """
 
     open: str = "<|im_start|>"
@@ -39,6 +40,10 @@ class ChatTemplate:
         }
     )
 
+    def __post_init__(self):
+        if not (self.open.startswith("<|") and self.close.startswith("<|") and self.after_role.startswith("\n")):
+            raise ValueError("open and close must start with '<|', after_role with a line break")
+
 
 CHATML = ChatTemplate()
 

@@ -238,3 +238,9 @@ def test_oracles_agree(spark):
         assert sorted(rows.columns) == names
         order = [rows.columns.index(n) for n in names]
         assert Counter(tuple(r[n] for n in names) for r in mine.collect()) == Counter(tuple(r[k] for k in order) for r in rows.fetchall())
+
+
+@pytest.mark.parametrize("odd", [{"open": "[INST]"}, {"close": "</s>"}, {"after_role": ": "}])
+def test_templates_that_cannot_be_read_back_are_refused(odd):
+    with pytest.raises(ValueError):
+        chat_format.ChatTemplate(**odd)
