@@ -100,6 +100,32 @@ def overlap_pairs(a: DataFrame, b: DataFrame, size: int = BIN) -> DataFrame:
     return left.join(right, met).where(F.col("bin") == first).drop("bin", "b_bin")
 
 
+def overlap_sums(a: DataFrame, b: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(contig, start0, end0, pairs, bases) for each distinct interval of a that b overlaps: how many pairs `overlap_pairs` has of it, and the bases that they share.
+
+    No pair is made. The rows of b over an interval are those that begin before its end, less those that end by its start; the bases shared are
+    those of b before its end, less those before its start. Edges are summed by position first. Running sums are taken inside chunks of a contig, and
+    a chunk goes on from the sums of the chunks before it, so one task orders the positions of a chunk.
+    """
+    places = a.where("start0 < end0").groupBy(*KEY).agg(F.count("*").alias("times"))
+    edge = lambda pos, *kind: F.struct(F.col(pos).alias("pos"), *[F.lit(k).cast("long").alias(c) for c, k in zip(("begun", "over"), kind)])
+    cut = lambda rows, *edges: rows.select("contig", F.explode(F.array(*edges)).alias("e")).select("contig", "e.*")
+    edges = cut(b.where("start0 < end0"), edge("start0", 1, 0), edge("end0", 0, 1)).unionByName(cut(places, edge("start0", 0, 0), edge("end0", 0, 0)))
+    edges = edges.groupBy("contig", "pos").agg(F.sum("begun").alias("begun"), F.sum("over").alias("over")).withColumn("chunk", F.floor(F.col("pos") / chunk))
+    edges = edges.withColumn("moment", (F.col("begun") - F.col("over")) * F.col("pos"))
+    sums = ("begun", "over", "moment")
+    earlier = Window.partitionBy("contig").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = edges.groupBy("contig", "chunk").agg(*[F.sum(c).alias(c) for c in sums])
+    chunks = chunks.select("contig", "chunk", *[F.coalesce(F.sum(c).over(earlier), F.lit(0).cast("long")).alias(f"{c}_before") for c in sums])
+    inside = Window.partitionBy("contig", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = edges.join(chunks, ["contig", "chunk"]).select("contig", "pos", F.col("begun").alias("here"), *[(F.col(f"{c}_before") + F.sum(c).over(inside)).alias(c) for c in sums])
+    rows = rows.withColumn("bases", F.col("pos") * (F.col("begun") - F.col("over")) - F.col("moment"))
+    starts = rows.select("contig", F.col("pos").alias("start0"), "over", F.col("bases").alias("bases0"))
+    ends = rows.select("contig", F.col("pos").alias("end0"), (F.col("begun") - F.col("here")).alias("begun"), F.col("bases").alias("bases1"))
+    met = places.join(starts, ["contig", "start0"]).join(ends, ["contig", "end0"]).where("begun > over")
+    return met.select(*KEY, (F.col("times") * (F.col("begun") - F.col("over"))).alias("pairs"), (F.col("times") * (F.col("bases1") - F.col("bases0"))).alias("bases"))
+
+
 def _islands(rows: DataFrame, parts: list[str], strict: bool) -> DataFrame:
     order = Window.partitionBy(*parts).orderBy("start0", "end0")
     reach = F.max("end0").over(order.rowsBetween(Window.unboundedPreceding, -1))

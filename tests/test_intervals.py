@@ -103,6 +103,28 @@ def test_pairs_come_once(spark, a, b):
     assert rows(iv.overlap_pairs(bed(spark, a), bed(spark, b), 8)) == want
 
 
+@QUICK
+@given(some, some, st.sampled_from([3, 16, 1000]))
+def test_sums_are_those_of_the_pairs(spark, a, b, chunk):
+    want = {}
+    for x in a:
+        for y in b:
+            if x[0] == y[0] and x[1] < y[2] and y[1] < x[2]:
+                n, bases = want.get(x, (0, 0))
+                want[x] = (n + 1, bases + min(x[2], y[2]) - max(x[1], y[1]))
+    assert rows(iv.overlap_sums(bed(spark, a), bed(spark, b), chunk)) == sorted((*x, *y) for x, y in want.items())
+
+
+def test_sums_make_no_pairs(spark):
+    """300 intervals under 300,000 reads that cover them all: 90 million pairs in one bin."""
+    reads = spark.range(300_000).selectExpr("'a' contig", "id % 7 start0", "10000 + id % 11 end0")
+    mask = spark.range(300).selectExpr("'a' contig", "100 + id start0", "200 + id end0")
+    sums = iv.overlap_sums(mask, reads)
+    assert {(r.pairs, r.bases) for r in sums.collect()} == {(300_000, 30_000_000)} and sums.count() == 300
+    assert "BroadcastNestedLoopJoin" not in sums._jdf.queryExecution().toString() and "bin" not in sums._jdf.queryExecution().toString()
+    assert iv.overlap_sums(mask, reads.limit(0)).count() == iv.overlap_sums(mask.limit(0), reads).count() == 0
+
+
 def test_masked_length(spark):
     data = bed(spark, [("a", 0, 10), ("a", 5, 20), ("b", 1, 2)])
     assert rows(iv.total_length(data)) == [("a", 20), ("b", 1)]
