@@ -1,7 +1,7 @@
 """A training corpus from `documents`: quality rules, near-duplicates, decontamination, mixing and sharding.
 
 Every stage keeps all columns as they are, whatever their names; `doc_id`, `text`, `lang` and `source` are the ones that it looks at.
-Empty tables stay empty. Stages that rank or choose rows do so for short rows, and every text is moved once to meet the result.
+Empty tables stay empty. Stages that rank or choose rows do so for short rows, and every text is moved once to meet the result. Scratch tables that led to it go before that.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from ridgeline.llm.decontaminate import contaminated
 from ridgeline.llm.mixing import mix, word_count
 from ridgeline.llm.ngram_join import jaccard_components
 from ridgeline.llm.quality import kept_rows
-from ridgeline.llm.shared import materialize, placed, table
+from ridgeline.llm.shared import materialize, placed, settled, table
 from ridgeline.llm.sharding import shard_rows
 
 SHARDS = 16
@@ -32,12 +32,12 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if not odd.limit(1).count():
-        found = materialize(jaccard_components(docs.select("doc_id", "text"), size=5, percent=80), "pipeline")
-        gone = materialize(found.where("component_id <> doc_id").select("doc_id"), "pipeline")
+        found = lambda: jaccard_components(docs.select("doc_id", "text"), size=5, percent=80)
+        gone = settled(spark, lambda: found().where("component_id <> doc_id").select("doc_id"), "pipeline")
         return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     rows = placed(docs).select("row", F.xxhash64("file", "at").alias("key"))
-    found = jaccard_components(rows.select(F.col("key").alias("doc_id"), "row.text"), size=5, percent=80)
-    found = materialize(found.select(F.col("doc_id").alias("key"), "component_id"), "pipeline")
+    near = lambda: jaccard_components(rows.select(F.col("key").alias("doc_id"), "row.text"), size=5, percent=80)
+    found = settled(spark, lambda: near().select(F.col("doc_id").alias("key"), "component_id"), "pipeline")
     order = F.struct(F.col("row.doc_id").isNull().alias("null"), F.col("row.doc_id").alias("doc_id"), "key")
     ranks = found.join(rows.select("key", order.alias("order")), "key")
     first = ranks.groupBy("component_id").agg(F.min("order")["key"].alias("key"))
@@ -48,8 +48,8 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item or edited copy of one. Null and empty texts stay; repeated rows share their fate."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
-    hits = contaminated(rows.select(F.col("key").alias("doc_id"), "row.text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    hits = materialize(hits.select(F.col("doc_id").alias("key")).distinct(), "pipeline")
+    found = lambda: contaminated(rows.select(F.col("key").alias("doc_id"), "row.text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    hits = settled(spark, lambda: found().select(F.col("doc_id").alias("key")).distinct(), "pipeline")
     return rows.join(hits, "key", "left_anti").select("row.*")
 
 
@@ -62,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = placed(docs)
     name = F.struct("row.doc_id", F.xxhash64("row.text")).cast("string").alias("name")
     slim = rows.select("row.source", word_count(F.col("row.text")).alias("size"), name, "file", "at")
-    taken = materialize(mix(slim, id_col="name").where("copies > 0").select("file", "at", "copies"), "pipeline")
+    taken = settled(spark, lambda: mix(slim, id_col="name").where("copies > 0").select("file", "at", "copies"), "pipeline")
     out = rows.join(taken, ["file", "at"])
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
@@ -71,7 +71,7 @@ def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard and slot; given columns of these names are replaced. Rows of equal id and text take any order among them."""
     rows = placed(docs.drop("shard", "slot"))
     slim = rows.select("row.doc_id", "row.source", F.xxhash64("row.text").alias("tie"), "file", "at")
-    shards = materialize(shard_rows(slim, SHARDS, ties=("tie",)).select("file", "at", "shard", "slot"), "pipeline")
+    shards = settled(spark, lambda: shard_rows(slim, SHARDS, ties=("tie",)).select("file", "at", "shard", "slot"), "pipeline")
     return rows.join(shards, ["file", "at"]).select("row.*", "shard", "slot")
 
 

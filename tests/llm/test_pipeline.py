@@ -1,12 +1,14 @@
 """The corpus pipeline's stages on a small corpus, each against what its rule says."""
 
 import random
+import shutil
 from collections import Counter
+from itertools import count
 
 import pytest
 
 import corpus_pipeline
-from ridgeline.llm import quality
+from ridgeline.llm import quality, shared
 from tests.llm.helpers import plain_components, prose
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -52,6 +54,19 @@ def test_stages(spark, corpus):
     assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 16
 
 
+def test_stages_leave_no_scratch_but_their_result(spark, corpus, tmp_path, monkeypatch):
+    docs, made = spark.read.parquet(f"{corpus}/documents.parquet"), count()
+    monkeypatch.setattr(shared, "scratch", lambda spark, name: f"{tmp_path}/{name}-{next(made)}")
+    for frame in (docs, docs.where("doc_id < 50")):
+        for stage, most in ((corpus_pipeline.keep_first, 2), (corpus_pipeline.keep_clean, 1), (corpus_pipeline.mix_sources, 1), (corpus_pipeline.cut_shards, 1)):
+            out = stage(spark, frame, corpus)
+            left = [p.name for p in tmp_path.iterdir()]
+            assert 1 <= len(left) <= most and all(x.startswith("pipeline-") for x in left)
+            assert out.count() > 0
+            for p in tmp_path.iterdir():
+                shutil.rmtree(p)
+
+
 def test_run_is_the_stages_in_order(spark, corpus):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
     rows = corpus_pipeline.run(spark, corpus).collect()
