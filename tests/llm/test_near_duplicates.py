@@ -134,6 +134,51 @@ def line_corpus(seed, n=40):
     return docs
 
 
+def linked_lines(spark, texts, **rules):
+    """The groups of lines that the join links, and those of all similar pairs, as sets of word tuples."""
+    frame = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3), "lines")
+    rows = placed(frame).select(F.col("row.doc_id").alias("id"), "file", "at", "row.text")
+    lines = plain_lines(list(enumerate(texts)))
+    hashed = line_dedup.hashed_lines(rows)
+    text = {r.h1: lines[r.id, r.line_no] for r in hashed.select("h1", "id", "line_no").collect()}
+    known = hashed.groupBy("h1").agg(F.min(F.struct("id", "file", "at", "line_no")).alias("first"))
+    found = components(line_dedup.line_links(rows, known, line_dedup.LineRules(**rules))).collect()
+    got, want = {}, {}
+    for r in found:
+        got.setdefault(r.component, set()).add(text[r.id])
+    for w, root in roots(set(lines.values()), list(plain_pairs(lines, rules.get("percent", 80)))).items():
+        want.setdefault(root, set()).add(w)
+    return sorted(map(sorted, got.values())), sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+@pytest.mark.parametrize(("seed", "percent"), [(3, 80), (12, 80), (5, 70), (6, 90)])
+def test_no_similar_line_is_lost(spark, seed, percent):
+    got, want = linked_lines(spark, [t for _, t in line_corpus(seed, 120)], percent=percent)
+    assert got == want and want
+
+
+def test_no_similar_line_is_lost_in_a_large_group(spark):
+    """Lines around many centres that all share their word pairs, repeated words, and lines of all lengths with as many edits as may be."""
+    rng = random.Random(17)
+    common = prose(rng, 30).split()
+    texts = []
+    for _ in range(25):
+        centre = common[:12] + prose(rng, 10).split() + common[12:]
+        for _ in range(8):
+            line = list(centre)
+            for _ in range(rng.randrange(0, 6)):
+                at = rng.randrange(len(line))
+                line[at : at + rng.randrange(0, 2)] = rng.choice([[], ["new"], [prose(rng, 1)]])
+            texts.append(" ".join(line))
+    for n in (*range(4, 40), 64, 90, 150):
+        line = prose(rng, n).split() if n % 3 else ["one", "two", *prose(rng, n // 3).split()] * 3
+        most = len(line) // 5
+        for at in (range(0, 5 * most, 5), rng.sample(range(len(line)), most)):
+            texts += [" ".join(line), " ".join(f"x{i}" if i in at else w for i, w in enumerate(line)), " ".join(w for i, w in enumerate(line) if i not in at)]
+    got, want = linked_lines(spark, texts)
+    assert got == want and max(map(len, want)) > 5
+
+
 def test_simhash_of_a_line(spark):
     frame = spark.createDataFrame([(1, "one two two three"), (2, "One; two TWO three"), (3, " ".join(["many", "words"] * 9000)), (4, "one one two " * 100)], "doc_id bigint, text string")
     rows = placed(frame).select("row.doc_id", "row.text", "file", "at").withColumnRenamed("doc_id", "id")
