@@ -139,9 +139,9 @@ def linked_lines(spark, texts, **rules):
     frame = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3), "lines")
     rows = placed(frame).select(F.col("row.doc_id").alias("id"), "file", "at", "row.text")
     lines = plain_lines(list(enumerate(texts)))
-    hashed = line_dedup.hashed_lines(rows)
+    hashed = line_dedup.lines_of(rows)
     text = {r.h1: lines[r.id, r.line_no] for r in hashed.select("h1", "id", "line_no").collect()}
-    known = hashed.groupBy("h1").agg(F.min(F.struct("id", "file", "at", "line_no")).alias("first"))
+    known = hashed.groupBy("h1").agg(F.min(F.struct("id", "file", "at", "line_no")).alias("first"), F.first("n").alias("n"), F.first("d").alias("d"))
     found = components(line_dedup.line_links(rows, known, line_dedup.LineRules(**rules))).collect()
     got, want = {}, {}
     for r in found:
