@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -228,6 +229,23 @@ def test_lines_against_edit_similarity(spark, seed):
     assert met >= 0.9 * len(pairs)
 
 
+def test_tables_of_word_pairs_go_once_they_are_read(spark, monkeypatch):
+    """When the last lines are compared, no scratch table of word pairs stands any more."""
+    inner, left = line_dedup.similar_lines, []
+
+    def watched(*args):
+        tables = {p.parent for p in Path(root).glob("lines-*/*.parquet")} - before
+        left.append([t.name for t in tables if {"key", "keys"} & set(spark.read.parquet(str(t)).columns)])
+        return inner(*args)
+
+    frame = materialize(spark.createDataFrame(line_corpus(3), "doc_id bigint, text string"), "lines")
+    root = Path(frame.inputFiles()[0].removeprefix("file:")).parents[1]
+    before = {p.parent for p in root.glob("lines-*/*.parquet")}
+    monkeypatch.setattr(line_dedup, "similar_lines", watched)
+    assert line_dedup.line_decisions(frame).count()
+    assert len(left) == 2 and left[0] and not left[1]
+
+
 def test_lines_of_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, "...\n\n"), (4, "a b\nA, B!\nc"), (4, "c"), (None, "a b"), (5, "a b\nnew\n---"), (7, "x y\nz w"), (7, "q r\nx y"), (8, "m n"), (8, "m n")]
     frame = spark.createDataFrame([(*d, 3, "k") for d in docs], "doc_id bigint, text string, line_no int, `file.at` string")
